@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe
+from . import bpe, packing, sharding, topk
 
 
 def queries() -> dict:
     return {
         "op1_bpe": bpe.op1_bpe,
+        "op4_sharding": sharding.op4_sharding,
+        "op6_packing": packing.op6_packing,
+        "op7_topk": topk.op7_topk,
     }
 
 
