@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, packing, sharding, topk
+from . import bpe, langid, packing, sharding, topk
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op4_sharding": sharding.op4_sharding,
         "op6_packing": packing.op6_packing,
         "op7_topk": topk.op7_topk,
+        "op8_langid": langid.op8_langid,
     }
 
 
