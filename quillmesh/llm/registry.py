@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, packing, sharding, topk
+from . import bpe, langid, packing, sharding, suffixtree, topk
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op6_packing": packing.op6_packing,
         "op7_topk": topk.op7_topk,
         "op8_langid": langid.op8_langid,
+        "op9_suffixtree": suffixtree.op9_suffixtree,
     }
 
 
