@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, packing, sharding, suffixtree, topk
+from . import bpe, digest, langid, packing, sharding, suffixtree, topk
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op7_topk": topk.op7_topk,
         "op8_langid": langid.op8_langid,
         "op9_suffixtree": suffixtree.op9_suffixtree,
+        "op10_digest": digest.op10_digest,
     }
 
 
