@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, digest, langid, packing, sharding, suffixtree, topk
+from . import bpe, digest, jaccard, langid, packing, sharding, suffixtree, topk
 
 
 def queries() -> dict:
     return {
         "op1_bpe": bpe.op1_bpe,
+        "op2_jaccard": jaccard.op2_jaccard,
         "op4_sharding": sharding.op4_sharding,
         "op6_packing": packing.op6_packing,
         "op7_topk": topk.op7_topk,
