@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, digest, jaccard, langid, packing, sharding, suffixtree, topk
+from . import bpe, digest, jaccard, langid, packing, sharding, suffixarray, suffixtree, topk
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_bpe": bpe.op1_bpe,
         "op2_jaccard": jaccard.op2_jaccard,
         "op4_sharding": sharding.op4_sharding,
+        "op5_suffixarray": suffixarray.op5_suffixarray,
         "op6_packing": packing.op6_packing,
         "op7_topk": topk.op7_topk,
         "op8_langid": langid.op8_langid,
