@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, digest, jaccard, langid, packing, sharding, suffixarray, suffixtree, topk
+from . import bpe, digest, jaccard, langid, packing, pii, sharding, suffixarray, suffixtree, topk
 
 
 def queries() -> dict:
     return {
         "op1_bpe": bpe.op1_bpe,
         "op2_jaccard": jaccard.op2_jaccard,
+        "op3_pii": pii.op3_pii,
         "op4_sharding": sharding.op4_sharding,
         "op5_suffixarray": suffixarray.op5_suffixarray,
         "op6_packing": packing.op6_packing,
