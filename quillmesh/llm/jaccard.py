@@ -11,7 +11,7 @@ set. Members go through these steps.
    whatever the input), and are broadcast. So no bucket gets a list longer than
    that share of the documents.
 2. Prefix. In ascending order of frequency, two linked members share one of the
-   first n - ceil(0.85 n) + 1 shingles. A member in which all of those are its
+   first n - ceil(t n) + 1 shingles, t being the threshold. A member in which all of those are its
    own is linked with nothing and goes. The rest fall into groups: members that
    share a shingle of both prefixes, and so on, are in one group, so links never
    leave a group.
@@ -267,13 +267,13 @@ def shared(posted: DataFrame, buckets: int) -> DataFrame:
     return posted.groupBy("bucket").applyInArrow(count, POSTINGS)
 
 
-def least_overlap(n: int) -> int:
+def least_overlap(n: int, threshold: tuple[int, int] = THRESHOLD) -> int:
     """The smallest intersection that a set of n can have with one that it is linked with."""
-    a, b = THRESHOLD
+    a, b = threshold
     return -(-a * n // b)
 
 
-def candidates(told: DataFrame) -> DataFrame:
+def candidates(told: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """member, n, prefix array<long>, shingles binary of the members whose prefix has a shingle that others have."""
 
     def gather(group: pa.Table) -> pa.Table:
@@ -301,7 +301,7 @@ def candidates(told: DataFrame) -> DataFrame:
             for a, length in zip(*runs(members)):
                 member = int(members[a])
                 n = size[member]
-                first = n - least_overlap(n) + 1 - (n - int(length))
+                first = n - least_overlap(n, threshold) + 1 - (n - int(length))
                 if first > 0:
                     own = keys[a : a + length]
                     out.append((member, n, own[:first].view(np.int64).tolist(), own.tobytes()))
@@ -349,9 +349,9 @@ class Trie:
                 self.deepest[child] += len(run) - same
             node, at = child, at + same
 
-    def walk(self, elements: np.ndarray, n: int, member: np.ndarray, own, root) -> Iterator[int]:
+    def walk(self, elements: np.ndarray, n: int, member: np.ndarray, own, root, threshold: tuple[int, int] = THRESHOLD) -> Iterator[int]:
         """Sets that are linked with this one and not yet in its component; member[e] tells whether e is in it."""
-        a, b = THRESHOLD
+        a, b = threshold
         total = len(elements)
         stack = [(0, 0)]
         while stack:
@@ -374,7 +374,7 @@ class Trie:
                 stack.append((child, overlap))
 
 
-def join_group(members: list[int], sizes: list[int], sets: list[np.ndarray], labels: list[int] | None = None) -> list[tuple[int, int]]:
+def join_group(members: list[int], sizes: list[int], sets: list[np.ndarray], labels: list[int] | None = None, threshold: tuple[int, int] = THRESHOLD) -> list[tuple[int, int]]:
     """Links that connect the linked members of a group. labels: components known already."""
     if len(members) < 2:
         return []
@@ -400,7 +400,7 @@ def join_group(members: list[int], sizes: list[int], sets: list[np.ndarray], lab
     for i in np.argsort(sizes, kind="stable").tolist():
         own = np.sort(flat[bounds[i] : bounds[i + 1]])
         member[own] = True
-        for other in trie.walk(own, sizes[i], member, i, root):
+        for other in trie.walk(own, sizes[i], member, i, root, threshold):
             links.append((members[i], members[other]))
             parent[root(i)] = root(other)
         member[own] = False
@@ -408,7 +408,7 @@ def join_group(members: list[int], sizes: list[int], sets: list[np.ndarray], lab
     return links
 
 
-def join_groups(rows: DataFrame) -> DataFrame:
+def join_groups(rows: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """Links a, b from rows (key, member, n, shingles, label): each key's members are joined by one task at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -417,7 +417,7 @@ def join_groups(rows: DataFrame) -> DataFrame:
         def done():
             unique = {r[0]: r for r in held}
             held[:] = unique.values()
-            found.extend(join_group([r[0] for r in held], [r[1] for r in held], [np.frombuffer(r[2], np.uint64) for r in held], [r[3] for r in held]))
+            found.extend(join_group([r[0] for r in held], [r[1] for r in held], [np.frombuffer(r[2], np.uint64) for r in held], [r[3] for r in held], threshold))
             held.clear()
 
         def links():
@@ -439,7 +439,7 @@ def join_groups(rows: DataFrame) -> DataFrame:
     return rows.select("key", "member", "n", "shingles", "label").repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
-def link_components(found: DataFrame) -> DataFrame:
+def link_components(found: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """member, component (smallest member) of the linked members, from candidates()."""
     edges = found.select("member", F.explode("prefix").alias("shingle"))
     least = edges.groupBy("shingle").agg(F.min("member").alias("least"), F.count("*").alias("times")).where("times > 1")
@@ -449,21 +449,21 @@ def link_components(found: DataFrame) -> DataFrame:
     rows = rows.join(sizes.where("chunks > 0"), "grp").withColumn("chunk", F.pmod(F.xxhash64("member"), F.col("chunks")))
     rows = common.written(rows.where("chunks = 1").withColumn("chunk", F.lit(0).cast("long")).unionByName(rows.where("chunks > 1")), "groups")
     keyed = rows.withColumn("key", F.xxhash64("grp", "chunk")).withColumn("label", F.col("member"))
-    links = common.written(join_groups(keyed), "links")
+    links = common.written(join_groups(keyed, threshold), "links")
     large = rows.where("chunks > 1")
     if large.isEmpty():
         return components(links)
     # Representatives of the chunks' components, then whoever isn't in the largest component of the group against every chunk.
     with_label = _labelled(large, links)
     reps = with_label.where("member = label").withColumn("part", F.floor(F.row_number().over(Window.partitionBy("grp", F.pmod(F.xxhash64("member"), F.lit(64))).orderBy("member")) / GROUP_MEMBERS))
-    links = common.written(links.unionByName(join_groups(reps.withColumn("key", F.xxhash64("grp", "part")))), "links")
+    links = common.written(links.unionByName(join_groups(reps.withColumn("key", F.xxhash64("grp", "part")), threshold)), "links")
     with_label = _labelled(large, links)
     per_label = with_label.groupBy("grp", "label").agg(F.count("*").alias("times"))
     major = per_label.groupBy("grp").agg(F.max_by("label", F.struct("times", "label")).alias("major"), F.count("*").alias("labels")).where("labels > 1").select("grp", "major")
     open_groups = with_label.join(major, "grp")
     minor = open_groups.where("label <> major").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
     last = open_groups.where("label = major").unionByName(minor)
-    return components(common.written(links.unionByName(join_groups(last.withColumn("key", F.xxhash64("grp", "chunk")))), "links"))
+    return components(common.written(links.unionByName(join_groups(last.withColumn("key", F.xxhash64("grp", "chunk")), threshold)), "links"))
 
 
 def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
@@ -471,7 +471,7 @@ def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
     return common.written(rows.join(known, "member", "left").withColumn("label", F.coalesce("label", "member")), "labels")
 
 
-def join(df: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def join(df: DataFrame, words: int = WORDS, threshold: tuple[int, int] = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     spark = df.sparkSession
     docs = common.documents(df, id_col, text_col)
@@ -481,8 +481,8 @@ def join(df: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: st
     hot = [r.shingle for r in first.where("shingle is not null").groupBy("shingle").agg(F.sum("local").alias("times")).where(F.col("times") >= max(FREQUENT_LEAST, count // (2 * FREQUENT_SHARE))).collect()]
     frequent = spark.sparkContext.broadcast(np.sort(np.array(hot, np.int64).view(np.uint64)))
     buckets = common.partitions_for((total or 0) * KEY_BYTES, BUCKET_BYTES // 2)
-    found = common.written(candidates(shared(postings(docs, words, buckets, frequent), buckets)), "candidates")
-    linked = link_components(found).select(F.col("node").alias("member"), "component")
+    found = common.written(candidates(shared(postings(docs, words, buckets, frequent), buckets), threshold), "candidates")
+    linked = link_components(found, threshold).select(F.col("node").alias("member"), "component")
     # Members of a component are the documents with their sets; its id is the smallest of their doc_ids.
     placed = members.join(linked, "member", "left").withColumn("component", F.when(F.col("n") > 0, F.coalesce("component", "member")))
     least = placed.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("least"))
@@ -492,3 +492,9 @@ def join(df: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: st
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents linked at Jaccard 0.85 or more of their 4-word shingles."""
     return join(common.table(spark, sf_dir, "documents"))
+
+
+def one_of_each(df: DataFrame, words: int, threshold: tuple[int, int]) -> DataFrame:
+    """The rows of df but those whose component has a smaller doc_id. Rows with a null doc_id stay."""
+    gone = join(df, words, threshold).where("doc_id <> component_id").select("doc_id").distinct()
+    return df.join(gone, "doc_id", "left_anti").select(*df.columns)

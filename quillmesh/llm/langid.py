@@ -27,6 +27,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from . import common
@@ -271,6 +272,22 @@ def predict(df: DataFrame, model, id_col: str = "doc_id", text_col: str = "text"
     return common.documents(df, id_col, text_col).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def annotate(df: DataFrame, model, text_col: str = "text") -> DataFrame:
+    """df with the columns lang_pred and score of each row; columns of those names are replaced."""
+    df = df.drop("lang_pred", "score")
+    sent, at = df.sparkSession.sparkContext.broadcast(model), df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = scorer_of(sent)
+        for batch in common.slices(batches):
+            found = judge.predict([t or "" for t in batch.column(at).to_pylist()])
+            columns = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, "lang_pred", "score"])
+
+    schema = T.StructType([*df.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return df.mapInArrow(run, schema)
+
+
 def scorer_of(sent) -> Scorer:
     model = sent.value
     key = id(model)

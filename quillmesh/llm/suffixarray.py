@@ -86,8 +86,8 @@ def batch_of(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[t]) for i, (_, t) in enumerate(fields)], [c for c, _ in fields])
 
 
-def bodies(batch: pa.RecordBatch) -> list[bytes]:
-    return [(t or "").encode() for t in batch.column("text").to_pylist()]
+def bodies(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
+    return [(t or "").encode() for t in batch.column(column).to_pylist()]
 
 
 def anchors(docs: DataFrame, buckets: int) -> DataFrame:
@@ -144,11 +144,14 @@ def shared_anchors(found: DataFrame, chunks: int) -> DataFrame:
     return found.groupBy("bucket").applyInArrow(count, SHARED)
 
 
+#: Columns of key, id for comparison, text and chunk.
+NAMES = ("row", "id", "text", "chunk")
 PIECES = "bucket int, text binary, lengths binary, blocks binary, piece binary, rows binary, ids binary, starts binary"
 
 
-def pieces(docs: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
-    """The text around shared anchors, to the anchors' buckets; equal pieces of a slice once."""
+def pieces(docs: DataFrame, shared: DataFrame, buckets: int, names: tuple[str, str, str, str] = NAMES) -> DataFrame:
+    """The text around shared anchors, to the anchors' buckets; equal pieces of a slice once. names: of the columns of docs."""
+    row_name, id_name, text_name, chunk_name = names
 
     def cut(_key, left: pa.Table, right: pa.Table) -> pa.Table:
         with np.errstate(over="ignore"):
@@ -159,9 +162,9 @@ def pieces(docs: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
                 wanted = np.unique(common.mix64(keys ^ common.mix64(rows)))
             out: list[tuple] = []
             for batch in common.slices(left.to_batches()) if len(wanted) else ():
-                texts = bodies(batch)
+                texts = bodies(batch, text_name)
                 found = Anchors(texts)
-                rows, ids = batch.column("row").to_numpy(), batch.column("id").to_numpy()
+                rows, ids = batch.column(row_name).to_numpy(), batch.column(id_name).to_numpy()
                 code = common.mix64(full_keys(found.hash, buckets) ^ common.mix64(rows[found.doc].view(np.uint64)))
                 at = np.minimum(np.searchsorted(wanted, code), len(wanted) - 1)
                 keep = np.flatnonzero(wanted[at] == code)
@@ -185,7 +188,7 @@ def pieces(docs: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
                     ))
         return pa.Table.from_batches([batch_of(out, PIECES)])
 
-    return docs.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(cut, PIECES)
+    return docs.groupBy(chunk_name).cogroup(shared.groupBy("chunk")).applyInArrow(cut, PIECES)
 
 
 def ordered_suffixes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -357,9 +360,10 @@ def keyed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tupl
     return docs.select(row.alias("row"), "doc_id", F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), "text").withColumn("chunk", F.pmod("row", F.lit(chunks)).cast("int")), chunks, buckets
 
 
-def spans_of(docs: DataFrame, chunks: int, buckets: int) -> DataFrame:
+def spans_of(docs: DataFrame, chunks: int, buckets: int, full: DataFrame | None = None, names: tuple[str, str, str, str] = NAMES) -> DataFrame:
+    """Spans of all rows. full: the same rows as they are dealt to chunks afterwards, so that they are shuffled once."""
     shared = shared_anchors(anchors(docs, buckets), chunks)
-    return repeated_spans(pieces(docs, shared, buckets), chunks)
+    return repeated_spans(pieces(docs if full is None else full, shared, buckets, names), chunks)
 
 
 REMOVED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
@@ -386,6 +390,43 @@ def _removed(df: DataFrame, id_col: str, text_col: str, schema: str, last, kind)
     return docs.groupBy("chunk").cogroup(spans_of(docs, chunks, buckets).groupBy("chunk")).applyInArrow(remove, schema)
 
 
+def whole_characters(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans less the characters that they cover in part."""
+    out = []
+    for a, b in spans:
+        while a < b and text[a] & 0xC0 == 0x80:
+            a += 1
+        while b > a and b < len(text) and text[b] & 0xC0 == 0x80:
+            b -= 1
+        if b > a:
+            out.append((a, b))
+    return out
+
+
+def clean(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """df with repeats cut from its texts, whole characters only. Null texts stay null; other columns stay as they are."""
+    names = ("__row", "__id", text_col, "__chunk")
+    docs, chunks, buckets = keyed(df, id_col, text_col)
+    row = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+    full = df.withColumns({"__row": row, "__id": F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)), "__chunk": F.pmod(row, F.lit(chunks)).cast("int")})
+    spans = spans_of(docs, chunks, buckets, full, names)
+    at, width = df.columns.index(text_col), len(df.columns)
+
+    def remove(_key, left: pa.Table, right: pa.Table) -> pa.Table:
+        own = union_spans(right)
+        out = []
+        for key, text in zip(left.column("__row").to_pylist(), left.column(at).to_pylist()):
+            found = own.get(key)
+            if found and text is not None:
+                body = text.encode()
+                text = kept_bytes(body, whole_characters(body, found)).decode()
+            out.append(text)
+        left = left.set_column(at, left.schema.field(at), pa.array(out, left.schema.field(at).type))
+        return left.select(list(range(width)))
+
+    return full.groupBy("__chunk").cogroup(spans.groupBy("chunk")).applyInArrow(remove, df.schema)
+
+
 def op5_suffixarray(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every whole text when strings of 50 bytes that a smaller document has are gone."""
     digest = lambda kept: hashlib.sha256(kept).hexdigest()
