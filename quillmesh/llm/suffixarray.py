@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +40,8 @@ SPAN = 50
 GRAM = 16
 LAST_ID = (1 << 63) - 1
 BUCKET_BYTES = 12 << 20
+#: Text whose anchors are found at once.
+ANCHORED_BYTES = 1 << 19
 #: Pieces put in order together, roughly.
 BLOCK_PIECES = 4096
 PLACE = np.uint64((1 << 24) - 1)
@@ -48,6 +51,21 @@ class Anchors:
     """The anchors of some texts: document, first and last string of each, and hash of its gram."""
 
     def __init__(self, texts: list[bytes]):
+        found, at = [], 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and (end == at or size + len(texts[end]) <= ANCHORED_BYTES):
+                size += len(texts[end])
+                end += 1
+            found.append(Block(texts[at:end], at))
+            at = end
+        self.doc, self.first, self.last, self.hash = (np.concatenate([getattr(b, name) for b in found]) if found else np.zeros(0, kind) for name, kind in (("doc", np.int64), ("first", np.int64), ("last", np.int64), ("hash", np.uint64)))
+
+
+class Block:
+    """The anchors of a few texts, the first of which has the given number."""
+
+    def __init__(self, texts: list[bytes], number: int):
         symbols = np.frombuffer(b"".join(texts), np.uint8)
         ends = np.cumsum([0, *map(len, texts)])
         self.doc = self.first = self.last = np.zeros(0, np.int64)
@@ -75,6 +93,7 @@ class Anchors:
         self.hash = hashes[(least[self.first] & PLACE).astype(np.int64)]
         self.doc = np.searchsorted(ends, self.first, "right") - 1
         self.first, self.last = self.first - ends[self.doc], self.last - ends[self.doc]
+        self.doc = self.doc + number
 
 
 ANCHORS = "bucket int, rows binary, ids binary, counts binary, keys binary"
@@ -110,7 +129,7 @@ def anchors(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.select("row", "id", "text").mapInArrow(run, ANCHORS)
 
 
-SHARED = "chunk int, rows binary, counts binary, keys binary"
+SHARED = "chunk int, bucket int, rows binary, counts binary, keys binary"
 
 
 def full_keys(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -131,14 +150,14 @@ def shared_anchors(found: DataFrame, chunks: int) -> DataFrame:
         start, length = runs(keys)
         whose = ids[of]
         several = np.repeat(np.minimum.reduceat(whose, start) < np.maximum.reduceat(whose, start), length) if len(keys) else np.zeros(0, bool)
-        keys, of = keys[several] | np.uint64(bucket & 0xFFFF) << np.uint64(48), of[several]
+        keys, of = keys[several], of[several]
         chunk = np.mod(rows[of], chunks)
         order = np.lexsort((of, chunk))
         keys, of, chunk = keys[order], of[order], chunk[order]
         out = []
         for a, n in zip(*runs(chunk)):
             first, times = runs(of[a : a + n])
-            out.append((int(chunk[a]), rows[of[a + first]].tobytes(), times.astype(np.uint32).tobytes(), keys[a : a + n].tobytes()))
+            out.append((int(chunk[a]), bucket, rows[of[a + first]].tobytes(), times.astype(np.uint32).tobytes(), packed(keys[a : a + n])))
         return pa.Table.from_batches([batch_of(out, SHARED)])
 
     return found.groupBy("bucket").applyInArrow(count, SHARED)
@@ -146,7 +165,7 @@ def shared_anchors(found: DataFrame, chunks: int) -> DataFrame:
 
 #: Columns of key, id for comparison, text and chunk.
 NAMES = ("row", "id", "text", "chunk")
-PIECES = "bucket int, text binary, lengths binary, blocks binary, piece binary, rows binary, ids binary, starts binary"
+PIECES = "bucket int, text binary, lengths binary, anchors binary, piece binary, docs binary, rows binary, ids binary, starts binary"
 
 
 def pieces(docs: DataFrame, shared: DataFrame, buckets: int, names: tuple[str, str, str, str] = NAMES) -> DataFrame:
@@ -158,9 +177,10 @@ def pieces(docs: DataFrame, shared: DataFrame, buckets: int, names: tuple[str, s
             wanted = np.zeros(0, np.uint64)
             if right.num_rows:
                 rows = np.concatenate([np.repeat(np.frombuffer(r, np.uint64), np.frombuffer(c, np.uint32)) for r, c in zip(right.column("rows").to_pylist(), right.column("counts").to_pylist())])
-                keys = np.concatenate([np.frombuffer(k, np.uint64) for k in right.column("keys").to_pylist()])
+                keys = np.concatenate([unpacked(k) | np.uint64(b & 0xFFFF) << np.uint64(48) for b, k in zip(right.column("bucket").to_pylist(), right.column("keys").to_pylist())])
                 wanted = np.unique(common.mix64(keys ^ common.mix64(rows)))
             out: list[tuple] = []
+            press = zstandard.ZstdCompressor(level=1)
             for batch in common.slices(left.to_batches()) if len(wanted) else ():
                 texts = bodies(batch, text_name)
                 found = Anchors(texts)
@@ -174,17 +194,18 @@ def pieces(docs: DataFrame, shared: DataFrame, buckets: int, names: tuple[str, s
                 for a, n in zip(*runs(place)):
                     own = keep[a : a + n]
                     known: dict[bytes, int] = {}
-                    blocks: list[int] = []
+                    anchors_of: list[int] = []
                     piece = np.empty(n, np.uint32)
-                    for i, (d, s, e, b) in enumerate(zip(found.doc[own].tolist(), found.first[own].tolist(), found.last[own].tolist(), (found.hash[own] & np.uint64(0xFFFF)).tolist())):
+                    docs_of, doc_index = np.unique(found.doc[own], return_inverse=True)
+                    for i, (d, s, e, h) in enumerate(zip(found.doc[own].tolist(), found.first[own].tolist(), found.last[own].tolist(), (found.hash[own] & np.uint64(0xFFFFFFFF)).tolist())):
                         content = texts[d][s : e + SPAN]
                         k = known.setdefault(content, len(known))
-                        if k == len(blocks):
-                            blocks.append(b)
+                        if k == len(anchors_of):
+                            anchors_of.append(h)
                         piece[i] = k
                     out.append((
-                        int(place[a]), b"".join(known), bytes(map(len, known)), np.array(blocks, np.uint16).tobytes(), piece.tobytes(),
-                        rows[found.doc[own]].tobytes(), ids[found.doc[own]].tobytes(), found.first[own].astype(np.uint32).tobytes(),
+                        int(place[a]), press.compress(b"".join(known)), bytes(map(len, known)), np.array(anchors_of, np.uint32).tobytes(), piece.tobytes(),
+                        doc_index.astype(np.uint32).tobytes(), rows[docs_of].tobytes(), ids[docs_of].tobytes(), found.first[own].astype(np.uint32).tobytes(),
                     ))
         return pa.Table.from_batches([batch_of(out, PIECES)])
 
@@ -218,7 +239,7 @@ def ordered_suffixes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.nda
         newest, active = newest[going], active[going]
         if not len(active):
             break
-        order = np.argsort(before, kind="stable")
+        order = np.argsort(before, kind="stable").astype(np.int64, copy=False)
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         beginnings = int(np.count_nonzero(before == 0))
@@ -274,28 +295,35 @@ def repeated_spans(found: DataFrame, chunks: int) -> DataFrame:
 
     def search(group: pa.Table) -> pa.Table:
         known: dict[bytes, int] = {}
-        block_of: list[int] = []
+        anchor_of: list[int] = []
         occurrences = []
         for r in group.to_pylist():
             sizes = np.frombuffer(r["lengths"], np.uint8)
+            text = zstandard.decompress(r["text"])
             bounds = np.cumsum([0, *sizes.tolist()]).tolist()
             names = np.empty(len(sizes), np.int64)
-            for i, block in enumerate(np.frombuffer(r["blocks"], np.uint16).tolist()):
-                k = known.setdefault(r["text"][bounds[i] : bounds[i + 1]], len(known))
-                if k == len(block_of):
-                    block_of.append(block)
+            for i, anchor in enumerate(np.frombuffer(r["anchors"], np.uint32).tolist()):
+                k = known.setdefault(text[bounds[i] : bounds[i + 1]], len(known))
+                if k == len(anchor_of):
+                    anchor_of.append(anchor)
                 names[i] = k
-            occurrences.append((names[np.frombuffer(r["piece"], np.uint32)], np.frombuffer(r["rows"], np.int64), np.frombuffer(r["ids"], np.int64), np.frombuffer(r["starts"], np.uint32)))
+            docs = np.frombuffer(r["docs"], np.uint32)
+            occurrences.append((names[np.frombuffer(r["piece"], np.uint32)], np.frombuffer(r["rows"], np.int64)[docs], np.frombuffer(r["ids"], np.int64)[docs], np.frombuffer(r["starts"], np.uint32)))
         contents = list(known)
         owner = np.full(len(contents), LAST_ID, np.int64)
         for piece, _, ids, _ in occurrences:
             np.minimum.at(owner, piece, ids)
-        blocks = max(1, len(contents) // BLOCK_PIECES)
-        block = np.array(block_of, np.int64) % blocks
         least: list[np.ndarray] = [None] * len(contents)
-        order = np.argsort(block, kind="stable")
-        for a, n in zip(*runs(block[order])):
-            some = order[a : a + n]
+        # An anchor whose pieces are all one text is a collection of one: its strings have that text's owner.
+        order = np.argsort(np.array(anchor_of, np.uint32), kind="stable")
+        start, length = runs(np.array(anchor_of, np.uint32)[order])
+        for i in order[start[length == 1]].tolist():
+            least[i] = np.full(len(contents[i]) - SPAN + 1, owner[i])
+        # The others are put in order in blocks of whole anchors.
+        several = order[np.repeat(length > 1, length)]
+        block = np.repeat(np.cumsum(length[length > 1]) // BLOCK_PIECES, length[length > 1])
+        for a, n in zip(*runs(block)):
+            some = several[a : a + n]
             for i, values in zip(some.tolist(), smallest_owners([contents[i] for i in some], owner[some])):
                 least[i] = values
         strings = np.array([len(v) for v in least])
