@@ -37,7 +37,7 @@ from . import common
 from .jaccard import bucket_of, packed, runs, unpacked
 
 SPAN = 50
-GRAM = 16
+GRAM = 20
 LAST_ID = (1 << 63) - 1
 BUCKET_BYTES = 12 << 20
 #: Text whose anchors are found at once.
@@ -76,7 +76,10 @@ class Block:
         for k in (1, 2, 4):
             words = words[:-k] | words[k:] << np.uint64(8 * k)
         with np.errstate(over="ignore"):
-            hashes = common.mix64(words[: -GRAM + 8] * np.uint64(0x9E3779B97F4A7C15) ^ common.mix64(words[GRAM - 8 :]))
+            count = len(symbols) - GRAM + 1
+            hashes = np.zeros(count, np.uint64)
+            for k in (*range(0, GRAM - 8, 8), GRAM - 8):
+                hashes = common.mix64(hashes * np.uint64(0x9E3779B97F4A7C15) ^ words[k : k + count])
         least = hashes & ~PLACE | np.arange(len(hashes), dtype=np.uint64)
         width, grams = 1, SPAN - GRAM + 1
         while width * 2 <= grams:
@@ -239,13 +242,19 @@ def ordered_suffixes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.nda
         newest, active = newest[going], active[going]
         if not len(active):
             break
-        order = np.argsort(before, kind="stable").astype(np.int64, copy=False)
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
+        order = np.argsort(before, kind="stable")
         beginnings = int(np.count_nonzero(before == 0))
-        target = rank[newest]
+        is_newest = np.zeros(len(order), bool)
+        is_newest[newest] = True
+        target = np.flatnonzero(is_newest[order])
+        # The texts in the order of their new suffixes.
+        at = np.empty(len(order), np.int32)
+        at[newest] = np.arange(len(newest), dtype=np.int32)
+        active = active[at[order[target]]]
         # Common prefixes change for the new suffixes and for those right after them.
-        touched = np.union1d(target, target[target + 1 < len(order)] + 1)
+        near = np.zeros(len(order) + 1, bool)
+        near[target] = near[target + 1] = True
+        touched = np.flatnonzero(near[:-1])
         current, previous = order[touched], order[touched - 1]
         joined = (touched > beginnings) & (before[current] == before[previous])
         low, high = previous[joined] + 1, current[joined] + 1
