@@ -117,8 +117,9 @@ def rank(postings: Column, query: str) -> Column:
     """0 without wanted terms."""
     wanted = sorted({t for parts in parse(query) for w, found in parts if w for t, _ in found})
     weight = lambda p: F.when(p["weight"] == "A", WEIGHTS["A"]).when(p["weight"] == "B", WEIGHTS["B"]).otherwise(WEIGHTS["C"])
+    occurrences = lambda term: F.filter(postings, lambda p: p["term"] == term)
     out = F.lit(0.0)
     for term in wanted:
-        own = F.sort_array(F.transform(F.filter(postings, lambda p, t=term: p["term"] == t), weight), asc=False)
+        own = F.sort_array(F.transform(occurrences(term), weight), asc=False)
         out = out + F.aggregate(F.transform(own, lambda w, i: w / ((i + 1) * (i + 1)).cast("double")), F.lit(0.0), lambda a, b: a + b)
     return out

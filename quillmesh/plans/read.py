@@ -160,7 +160,7 @@ class Engine:
     # Events.
 
     def matching_events(self, f: EventFilters, as_of: datetime | None = None) -> DataFrame:
-        start = since(f.since, self.zone) if f.since else (F.lit(as_of) if as_of else F.current_timestamp()) - F.expr("INTERVAL 3 HOURS")
+        start = since(f.since, self.zone) if f.since else (F.current_timestamp() if as_of is None else F.lit(as_of)) - F.expr("INTERVAL 3 HOURS")
         rows = self.events.where((F.col("status") == "active") & (F.coalesce("ends_at", "starts_at") >= start))
         if f.until:
             rows = rows.where(F.col("starts_at") < day_after(f.until, self.zone))
