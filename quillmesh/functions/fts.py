@@ -47,7 +47,7 @@ def stem(word: str) -> str:
             break
     if len(word) > 2 and word.endswith("y") and _VOWEL.search(word[:-1]):
         word = word[:-1] + "i"
-    return word[:-1] if len(word) > 4 and word.endswith("e") else word
+    return word[:-1] if len(word) > 3 and word.endswith("e") else word
 
 
 def terms(text: str) -> list[tuple[str, int]]:
