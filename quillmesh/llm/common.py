@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -83,3 +84,45 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 def crc32_of_id(column: str = "doc_id") -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary"))
+
+
+def trim() -> None:
+    """Give freed memory back to the system: workers live on, and other operators' tasks run in them."""
+    pa.default_memory_pool().release_unused()
+    release = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if release:
+        release(0)
+
+
+def trimmed(run: Callable) -> Callable:
+    """run for mapInArrow, with memory given back at the end of each task."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return wrapped
+
+
+def trimmed_group(run: Callable) -> Callable:
+    """The same for a function of one group."""
+
+    def wrapped(group: pa.Table) -> pa.Table:
+        out = run(group)
+        trim()
+        return out
+
+    return wrapped
+
+
+def trimmed_pair(run: Callable) -> Callable:
+    """The same for a function of a key and two groups."""
+
+    def wrapped(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        out = run(key, left, right)
+        trim()
+        return out
+
+    return wrapped

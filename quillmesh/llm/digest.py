@@ -101,7 +101,7 @@ def histogram(df: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(range(BINS), pa.int32()), pa.array(found)], ["bin", "n"])
 
     out = np.zeros(BINS, np.int64)
-    for row in common.documents(df).mapInArrow(count, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect():
+    for row in common.documents(df).mapInArrow(common.trimmed(count), "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect():
         out[row.bin] = row.n
     return out
 
@@ -206,7 +206,7 @@ def fingerprint(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
                 [pa.array(doc_ids, pa.int64()), pa.array([len(f) for f in found], pa.int32()), pa.array([digest_string(f, filters_of(f)) for f in found], pa.string())], ["doc_id", "n_features", "fingerprint"]
             )
 
-    return common.documents(df, id_col, text_col).mapInArrow(run, "doc_id long, n_features int, fingerprint string")
+    return common.documents(df, id_col, text_col).mapInArrow(common.trimmed(run), "doc_id long, n_features int, fingerprint string")
 
 
 def edited(text: str, following: str) -> str:
@@ -236,7 +236,7 @@ def in_order(docs: DataFrame) -> DataFrame:
                 found[r] = min(found.get(r, least), least)
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array(list(found.values()), pa.int64())], ["range", "first"])
 
-    firsts = sorted((r.range, r.first) for r in keyed.select("key").mapInArrow(first_keys, "range int, first long").groupBy("range").agg(F.min("first").alias("first")).collect())
+    firsts = sorted((r.range, r.first) for r in keyed.select("key").mapInArrow(common.trimmed(first_keys), "range int, first long").groupBy("range").agg(F.min("first").alias("first")).collect())
     used, starts = [r for r, _ in firsts], np.array([f for _, f in firsts], np.int64)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,7 +249,7 @@ def in_order(docs: DataFrame) -> DataFrame:
                 out = part.append_column("range", pa.array(where.astype(np.int32))).append_column("copy", pa.array([copy] * len(where)))
                 yield from out.combine_chunks().to_batches()
 
-    dealt = keyed.select("doc_id", "text", "key").mapInArrow(deal, "doc_id long, text string, key long, range int, copy boolean")
+    dealt = keyed.select("doc_id", "text", "key").mapInArrow(common.trimmed(deal), "doc_id long, text string, key long, range int, copy boolean")
     return dealt.repartition("range").sortWithinPartitions("range", "copy", "key", "text")
 
 
@@ -304,7 +304,7 @@ def compare_with_edits(df: DataFrame) -> DataFrame:
         if pairs:
             yield rate(pairs)
 
-    return in_order(docs).mapInArrow(run, SCHEMA)
+    return in_order(docs).mapInArrow(common.trimmed(run), SCHEMA)
 
 
 def op10_digest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,7 +49,7 @@ THRESHOLD = (85, 100)
 #: Text hashed at once.
 HASHED_BYTES = 2 << 20
 #: Shingles whose frequencies are counted together when looking for the very frequent ones.
-COUNTED = 4_000_000
+COUNTED = 2_000_000
 FREQUENT_SHARE = 1000
 FREQUENT_LEAST = 64
 BUCKET_BYTES = 24 << 20
@@ -154,7 +154,7 @@ def members_and_counts(docs: DataFrame, words: int) -> DataFrame:
         if held:
             yield frequent()
 
-    return docs.mapInArrow(run, "doc_id long, n long, member long, shingle long, local long")
+    return docs.mapInArrow(common.trimmed(run), "doc_id long, n long, member long, shingle long, local long")
 
 
 def packed(keys: np.ndarray) -> bytes:
@@ -221,7 +221,7 @@ def postings(docs: DataFrame, words: int, buckets: int, frequent) -> DataFrame:
             kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], [c.split()[0] for c in POSTINGS.split(", ")])
 
-    return docs.mapInArrow(run, POSTINGS)
+    return docs.mapInArrow(common.trimmed(run), POSTINGS)
 
 
 #: A shingle's frequency is told as at most this; the very frequent ones come last in the order.
@@ -264,7 +264,7 @@ def shared(posted: DataFrame, buckets: int) -> DataFrame:
         kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
         return pa.table({c.split()[0]: pa.array([r[i] for r in out], t) for i, (c, t) in enumerate(zip(POSTINGS.split(", "), kinds))})
 
-    return posted.groupBy("bucket").applyInArrow(count, POSTINGS)
+    return posted.groupBy("bucket").applyInArrow(common.trimmed_group(count), POSTINGS)
 
 
 def least_overlap(n: int, threshold: tuple[int, int] = THRESHOLD) -> int:
@@ -308,7 +308,7 @@ def candidates(told: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataF
         kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
         return pa.table({c: pa.array([r[i] for r in out], t) for i, (c, t) in enumerate(zip(("member", "n", "prefix", "shingles"), kinds))})
 
-    return told.groupBy("bucket").applyInArrow(gather, "member long, n long, prefix array<long>, shingles binary")
+    return told.groupBy("bucket").applyInArrow(common.trimmed_group(gather), "member long, n long, prefix array<long>, shingles binary")
 
 
 class Trie:
@@ -436,7 +436,7 @@ def join_groups(rows: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> Data
         done()
         yield links()
 
-    return rows.select("key", "member", "n", "shingles", "label").repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+    return rows.select("key", "member", "n", "shingles", "label").repartition("key").sortWithinPartitions("key").mapInArrow(common.trimmed(run), "a long, b long")
 
 
 def link_components(found: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:

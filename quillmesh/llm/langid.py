@@ -43,8 +43,10 @@ BLOCK = 40
 LONGEST_PIECE = 8
 WORD = re.compile(r"[^\W\d_]+")
 START = "▁"
+#: Text whose languages are told at once.
+SLICE_BYTES = 2 << 20
 #: Words whose scores a worker keeps.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 120_000
 UND = "und"
 BASE = np.uint64(0x100000001B3)
 SLOTS = 20
@@ -246,7 +248,7 @@ def training_counts(labelled: DataFrame, per_language: int) -> dict[str, Counter
 
     chosen = labelled.join(F.broadcast(sample), "doc_id", "left_semi").select("lang", "text")
     counts: dict[str, Counter] = {}
-    for row in chosen.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).collect():
+    for row in chosen.mapInArrow(common.trimmed(count), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).collect():
         counts.setdefault(row.lang, Counter())[row.word] = row.n
     return counts
 
@@ -264,12 +266,12 @@ def predict(df: DataFrame, model, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = scorer_of(sent)
-        for batch in common.slices(batches):
+        for batch in common.slices(batches, SLICE_BYTES):
             doc_ids, texts = common.ids_and_texts(batch)
             found = judge.predict(texts)
             yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return common.documents(df, id_col, text_col).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return common.documents(df, id_col, text_col).mapInArrow(common.trimmed(run), "doc_id long, lang_pred string, score double")
 
 
 def annotate(df: DataFrame, model, text_col: str = "text") -> DataFrame:
@@ -279,13 +281,13 @@ def annotate(df: DataFrame, model, text_col: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = scorer_of(sent)
-        for batch in common.slices(batches):
+        for batch in common.slices(batches, SLICE_BYTES):
             found = judge.predict([t or "" for t in batch.column(at).to_pylist()])
             columns = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, "lang_pred", "score"])
 
     schema = T.StructType([*df.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(common.trimmed(run), schema)
 
 
 def scorer_of(sent) -> Scorer:

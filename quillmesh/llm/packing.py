@@ -140,7 +140,7 @@ def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             kinds = [pa.int64()] * 7 + [pa.int32(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [c.split()[0] for c in SCHEMA.split(", ")])
 
-    return common.documents(df, id_col, text_col).mapInArrow(run, SCHEMA)
+    return common.documents(df, id_col, text_col).mapInArrow(common.trimmed(run), SCHEMA)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

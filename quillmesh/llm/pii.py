@@ -419,7 +419,7 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", field: F
                 [c.split()[0] for c in SCHEMA.split(", ")],
             )
 
-    return common.documents(df, id_col, text_col).mapInArrow(run, SCHEMA)
+    return common.documents(df, id_col, text_col).mapInArrow(common.trimmed(run), SCHEMA)
 
 
 def masked(text: str, spans: list[Span]) -> str:
@@ -442,7 +442,7 @@ def redact(df: DataFrame, text_col: str = "text", field: Field | None = None) ->
             texts = [t if t is None else masked(t, all_spans(t, sent.value)[1]) for t in batch.column(at).to_pylist()]
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(common.trimmed(run), df.schema)
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

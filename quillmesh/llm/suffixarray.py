@@ -129,7 +129,7 @@ def anchors(docs: DataFrame, buckets: int) -> DataFrame:
                 out.append((int(place[a]), rows[own].tobytes(), ids[own].tobytes(), times.astype(np.uint32).tobytes(), packed(keys[a : a + length])))
             yield batch_of(out, ANCHORS)
 
-    return docs.select("row", "id", "text").mapInArrow(run, ANCHORS)
+    return docs.select("row", "id", "text").mapInArrow(common.trimmed(run), ANCHORS)
 
 
 SHARED = "chunk int, bucket int, rows binary, counts binary, keys binary"
@@ -163,7 +163,7 @@ def shared_anchors(found: DataFrame, chunks: int) -> DataFrame:
             out.append((int(chunk[a]), bucket, rows[of[a + first]].tobytes(), times.astype(np.uint32).tobytes(), packed(keys[a : a + n])))
         return pa.Table.from_batches([batch_of(out, SHARED)])
 
-    return found.groupBy("bucket").applyInArrow(count, SHARED)
+    return found.groupBy("bucket").applyInArrow(common.trimmed_group(count), SHARED)
 
 
 #: Columns of key, id for comparison, text and chunk.
@@ -212,7 +212,7 @@ def pieces(docs: DataFrame, shared: DataFrame, buckets: int, names: tuple[str, s
                     ))
         return pa.Table.from_batches([batch_of(out, PIECES)])
 
-    return docs.groupBy(chunk_name).cogroup(shared.groupBy("chunk")).applyInArrow(cut, PIECES)
+    return docs.groupBy(chunk_name).cogroup(shared.groupBy("chunk")).applyInArrow(common.trimmed_pair(cut), PIECES)
 
 
 def ordered_suffixes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -360,7 +360,7 @@ def repeated_spans(found: DataFrame, chunks: int) -> DataFrame:
             out.append((int(chunk[part[0]]), rows[part].tobytes(), begins[part].tobytes(), ends[part].tobytes()))
         return pa.Table.from_batches([batch_of(out, SPANS)])
 
-    return found.groupBy("bucket").applyInArrow(search, SPANS)
+    return found.groupBy("bucket").applyInArrow(common.trimmed_group(search), SPANS)
 
 
 def union_spans(table: pa.Table) -> dict[int, list[tuple[int, int]]]:
@@ -424,7 +424,7 @@ def _removed(df: DataFrame, id_col: str, text_col: str, schema: str, last, kind)
         names = [c.split()[0] for c in schema.split(", ")]
         return pa.table({c: pa.array(v, pa.int64() if i < 4 else kind) for i, (c, v) in enumerate(zip(names, out))})
 
-    return docs.groupBy("chunk").cogroup(spans_of(docs, chunks, buckets).groupBy("chunk")).applyInArrow(remove, schema)
+    return docs.groupBy("chunk").cogroup(spans_of(docs, chunks, buckets).groupBy("chunk")).applyInArrow(common.trimmed_pair(remove), schema)
 
 
 def whole_characters(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -461,7 +461,7 @@ def clean(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
         left = left.set_column(at, left.schema.field(at), pa.array(out, left.schema.field(at).type))
         return left.select(list(range(width)))
 
-    return full.groupBy("__chunk").cogroup(spans.groupBy("chunk")).applyInArrow(remove, df.schema)
+    return full.groupBy("__chunk").cogroup(spans.groupBy("chunk")).applyInArrow(common.trimmed_pair(remove), df.schema)
 
 
 def op5_suffixarray(spark: SparkSession, sf_dir: str) -> DataFrame:

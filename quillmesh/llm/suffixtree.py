@@ -106,7 +106,7 @@ def grams(df: DataFrame) -> DataFrame:
         if held:
             yield table(*merged())
 
-    return df.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return df.mapInArrow(common.trimmed(count), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def frequent_contexts(counted: DataFrame, least_share: float = LEAST_SHARE) -> list[tuple[int, int, list[tuple[int, int]]]]:
@@ -227,7 +227,7 @@ def vocabulary_lists(docs: DataFrame, buckets: int) -> DataFrame:
         n = len(lists)
         return pa.table({"bucket": pa.array(range(n), pa.int32()), "chunk": pa.array([group.column("chunk")[0].as_py()] * n, pa.int32()), "words": pa.array([b" ".join(ws) for ws in lists], pa.binary()), "counts": pa.array(numbers, pa.binary())})
 
-    return docs.select("chunk", "held_out", "text").groupBy("chunk").applyInArrow(collect, "bucket int, chunk int, words binary, counts binary")
+    return docs.select("chunk", "held_out", "text").groupBy("chunk").applyInArrow(common.trimmed_group(collect), "bucket int, chunk int, words binary, counts binary")
 
 
 def split_words(blob: bytes) -> list[bytes]:
@@ -251,7 +251,7 @@ def answers(lists: DataFrame) -> DataFrame:
             "tokens": pa.array([0] * len(chunks) + [sum(total.values())], pa.int64()), "distinct": pa.array([0] * len(chunks) + [sum(1 for n in total.values() if n)], pa.int64()),
         })
 
-    return lists.groupBy("bucket").applyInArrow(add, "bucket int, chunk int, counts binary, tokens long, distinct long")
+    return lists.groupBy("bucket").applyInArrow(common.trimmed_group(add), "bucket int, chunk int, counts binary, tokens long, distinct long")
 
 
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -292,7 +292,7 @@ def score(df: DataFrame, folds: int = 10) -> DataFrame:
         kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         return pa.table({c.split()[0]: pa.array(v, t) for c, v, t in zip(SCHEMA.split(", "), out, kinds)})
 
-    return docs.groupBy("chunk").cogroup(replies.where("chunk is not null").select("chunk", "bucket", "counts").groupBy("chunk")).applyInArrow(rate, SCHEMA)
+    return docs.groupBy("chunk").cogroup(replies.where("chunk is not null").select("chunk", "bucket", "counts").groupBy("chunk")).applyInArrow(common.trimmed_pair(rate), SCHEMA)
 
 
 def op9_suffixtree(spark: SparkSession, sf_dir: str) -> DataFrame:
