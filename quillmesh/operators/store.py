@@ -8,6 +8,7 @@ numbered, in order of their keys.
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -148,7 +149,7 @@ class Store:
         self.fs = self.fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
 
     def _pointer(self, table: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}/_current.json")
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}/CURRENT.json")
 
     def version(self, table: str) -> int:
         if not self.fs.exists(self._pointer(table)):
@@ -161,11 +162,20 @@ class Store:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.parquet(f"{self.path}/{table}/v{version}")
 
+    def stage(self, rows: DataFrame) -> DataFrame:
+        """Rows written to the store's staging folder and read again: plans stay small, and lost executors lose nothing."""
+        path = f"{self.path}/_staging/{uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
+    def clear_stage(self) -> None:
+        self.fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_staging"), True)
+
     def write(self, table: str, rows: DataFrame) -> int:
         """Write the next version, then move the pointer: readers see the old one or the new one."""
         version = self.version(table) + 1
         rows.write.mode("overwrite").parquet(f"{self.path}/{table}/v{version}")
-        part = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}/_current.json.tmp")
+        part = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}/CURRENT.json.tmp")
         out = self.fs.create(part, True)
         out.write(bytearray(json.dumps({"version": version}).encode()))
         out.close()

@@ -52,9 +52,9 @@ def ingest_batch(tables: store.Store, raw: DataFrame, organizations: DataFrame,
     now = F.lit(as_of)
     current, events = tables.read("messages", schemas.MESSAGES), tables.read("events", schemas.EVENTS)
     bridge = tables.read("message_lists", schemas.MESSAGE_LISTS)
-    incoming = normalize(raw, organizations, as_of, current)
+    incoming = tables.stage(normalize(raw, organizations, as_of, current))
     merged = store.upsert_messages(current, incoming.drop("recipient_lists").withColumn("revision", F.lit(None).cast("long")))
-    merged = merged.withColumn("changed", F.col("change").isNotNull()).cache()
+    merged = tables.stage(merged.withColumn("changed", F.col("change").isNotNull()))
     roots = reconcile.reconcile(merged).withColumnRenamed("canonical_id", "root")
     joined = merged.join(roots, "id")
     moved = ~F.col("canonical_id").eqNullSafe(F.col("root"))
@@ -62,39 +62,39 @@ def ingest_batch(tables: store.Store, raw: DataFrame, organizations: DataFrame,
     before = joined.select("id", F.col("complete").alias("was_complete"))
     whole = reconcile.inherit_bodies(joined).join(before, "id")
     whole = whole.withColumn("change", F.when(F.col("complete") & ~F.col("was_complete"), F.coalesce("change", F.lit("update"))).otherwise(F.col("change"))).drop("was_complete")
+    whole = tables.stage(whole)
     todo = event_ops.needs_extraction(whole, now)
-    found = event_ops.extract_with(todo.select("id", "subject", F.col("body_text").alias("body"), "sent_at", "links", "listserv", "organization_id", "organization_name"), locations, extractor).cache()
+    found = tables.stage(event_ops.extract_with(todo.select("id", "subject", F.col("body_text").alias("body"), "sent_at", "links", "listserv", "organization_id", "organization_name"), locations, extractor))
     stamp = found.select("id", F.col("version").alias("x_version"), F.col("method").alias("x_method"), F.col("is_event").alias("x_event"), F.col("notes").alias("x_notes"))
     whole = whole.join(stamp, "id", "left")
     hit = F.col("x_version").isNotNull()
     for column, new in (("extraction_version", "x_version"), ("extraction_method", "x_method"), ("is_event", "x_event"), ("extraction_notes", "x_notes")):
         whole = whole.withColumn(column, F.when(hit, F.col(new)).otherwise(F.col(column)))
-    whole = whole.withColumn("change", F.when(hit, F.coalesce("change", F.lit("update"))).otherwise(F.col("change"))).cache()
+    whole = tables.stage(whole.withColumn("change", F.when(hit, F.coalesce("change", F.lit("update"))).otherwise(F.col("change"))))
     named = incoming.select("id", "recipient_lists")
     reached = reconcile.bridge(whole.join(named, "id").select("id", "canonical_id", "listserv", "recipient_lists"))
     next_bridge = bridge.unionByName(reached).distinct()
 
-    saved = store.save_extraction(events, found)
+    saved = tables.stage(store.save_extraction(events, found))
     gone = store.withdraw_merged(saved.drop("change"), whole).select("id", F.col("change").alias("gone"), F.col("status").alias("after"))
     saved = saved.join(gone, "id").withColumn("status", F.col("after")).withColumn("change", F.coalesce("change", "gone")).drop("gone", "after")
-    saved = saved.withColumn("created_at", F.coalesce("created_at", now)).cache()
+    saved = tables.stage(saved.withColumn("created_at", F.coalesce("created_at", now)))
     marked, targets = event_ops_mark(saved.drop("change"), now)
     was = saved.select("id", F.col("status").alias("was"), F.col("change").alias("own"))
     last = store.touch(marked, targets).join(was, "id")
-    last = last.withColumn("change", F.when(F.col("status") != F.col("was"), F.lit("update")).otherwise(F.coalesce("own", "change"))).drop("was", "own").cache()
+    last = tables.stage(last.withColumn("change", F.when(F.col("status") != F.col("was"), F.lit("update")).otherwise(F.coalesce("own", "change"))).drop("was", "own"))
 
     top = max(current.agg(F.max("revision")).first()[0] or 0, events.agg(F.max("revision")).first()[0] or 0)
-    messages_out = store.with_revisions(whole.select(*current.columns, "change"), top, ["id"]).withColumn("updated_at", F.when(F.col("change").isNotNull(), now).otherwise(F.col("updated_at"))).cache()
+    messages_out = tables.stage(store.with_revisions(whole.select(*current.columns, "change"), top, ["id"]).withColumn("updated_at", F.when(F.col("change").isNotNull(), now).otherwise(F.col("updated_at"))))
     n_messages = messages_out.where("change is not null").count()
-    events_out = store.with_revisions(last.select(*events.columns, "change"), top + n_messages, ["id"]).withColumn("updated_at", F.when(F.col("change").isNotNull(), now).otherwise(F.col("updated_at"))).cache()
+    events_out = tables.stage(store.with_revisions(last.select(*events.columns, "change"), top + n_messages, ["id"]).withColumn("updated_at", F.when(F.col("change").isNotNull(), now).otherwise(F.col("updated_at"))))
     n_events = events_out.where("change is not null").count()
     if n_messages:
         tables.write("messages", messages_out.select(*current.columns))
         tables.write("message_lists", next_bridge)
     if n_events:
         tables.write("events", events_out.select(*events.columns))
-    for held in (merged, found, whole, saved, last, messages_out, events_out):
-        held.unpersist()
+    tables.clear_stage()
     return {"messages": n_messages, "events": n_events}
 
 
@@ -109,17 +109,18 @@ def sync_feed(tables: store.Store, items: DataFrame, organizations: DataFrame, l
     now = F.lit(as_of)
     events = tables.read("events", schemas.EVENTS)
     feed = event_ops.with_series(event_ops.without_generic_images(event_ops.map_feed(items, locations, organizations)))
-    synced = store.sync_official(events, feed, now, least).withColumn("created_at", F.coalesce("created_at", now)).cache()
+    synced = tables.stage(store.sync_official(events, tables.stage(feed), now, least).withColumn("created_at", F.coalesce("created_at", now)))
     marked, targets = event_ops_mark(synced.drop("change"), now)
     was = synced.select("id", F.col("status").alias("was"), F.col("change").alias("own"))
     last = store.touch(marked, targets).join(was, "id")
-    last = last.withColumn("change", F.when(F.col("status") != F.col("was"), F.lit("update")).otherwise(F.coalesce("own", "change"))).drop("was", "own").cache()
+    last = tables.stage(last.withColumn("change", F.when(F.col("status") != F.col("was"), F.lit("update")).otherwise(F.coalesce("own", "change"))).drop("was", "own"))
     messages = tables.read("messages", schemas.MESSAGES)
     top = max(messages.agg(F.max("revision")).first()[0] or 0, events.agg(F.max("revision")).first()[0] or 0)
-    out = store.with_revisions(last.select(*events.columns, "change"), top, ["id"]).withColumn("updated_at", F.when(F.col("change").isNotNull(), now).otherwise(F.col("updated_at"))).cache()
+    out = tables.stage(store.with_revisions(last.select(*events.columns, "change"), top, ["id"]).withColumn("updated_at", F.when(F.col("change").isNotNull(), now).otherwise(F.col("updated_at"))))
     counts = {k: out.where(c).count() for k, c in (("changed", "change is not null"), ("withdrawn", "change is not null and status = 'withdrawn'"), ("duplicates", "status = 'duplicate'"))}
     if counts["changed"]:
         tables.write("events", out.select(*events.columns))
+    tables.clear_stage()
     return counts
 
 
