@@ -109,9 +109,15 @@ POI_CATEGORIES = {
 EATING_CLUBS = ("Cap & Gown", "Charter", "Cloister", "Colonial", "Cottage", "Ivy", "Quadrangle", "Terrace", "Tiger", "Tower")
 
 _WORD = "[A-Za-z0-9_]"
-_BOUNDARY = rf"(?:(?<!{_WORD})(?={_WORD})|(?<={_WORD})(?!{_WORD}))"
+_START, _END = rf"(?<!{_WORD})(?={_WORD})", rf"(?<={_WORD})(?!{_WORD})"
 
 
 def ascii_words(pattern: str, flags: str = "i") -> str:
-    """The pattern for Spark, with ASCII word boundaries: the JVM's take all letters for parts of words."""
-    return (f"(?{flags})" if flags else "") + re.sub(r"\\b", lambda _: _BOUNDARY, pattern)
+    """The pattern for Spark, with ASCII word boundaries: the JVM's take all letters for parts of words.
+
+    A boundary before letters is a word's start, any other its end, which is
+    faster than either. Patterns whose words may begin with a mark need either.
+    """
+    either = "|@|" in pattern or r"|\[" in pattern
+    bound = lambda m: f"(?:{_START}|{_END})" if either else _START if re.match(r"[A-Za-z0-9(]", pattern[m.end() :]) else _END
+    return (f"(?{flags})" if flags else "") + re.sub(r"\\b", bound, pattern)

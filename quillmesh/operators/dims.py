@@ -164,7 +164,7 @@ def resolve_locations(phrases: DataFrame, locations: DataFrame, key: str = "key"
     found = tokens.join(location_aliases(locations), "anchor").where(inside(F.col("alias")) & ((F.length("alias") > 3) | (F.size(F.split("normal", " ")) <= 3)))
     best = found.groupBy(key).agg(F.max_by(F.struct("location_id", "alias", "normal"), F.struct(F.length("alias"), F.col("alias"), "location_id")).alias("best")).select(key, "best.*")
     padded = F.concat(F.lit(" "), F.col("normal"), F.lit(" "))
-    after = F.substr(padded, F.expr("instr(concat(' ', normal, ' '), concat(' ', alias, ' '))") + F.length("alias") + 1)
+    after = F.substr(padded, F.expr("instr(concat(' ', normal, ' '), concat(' ', alias, ' '))") + F.length("alias") + 2)
     room = F.regexp_extract(after, r"^(?:room |rm )?([a-z]?\d{1,4}[a-z]?)(?![A-Za-z0-9_])", 1)
     names = locations.select(F.col("id").alias("location_id"), F.col("name").alias("location_name"), F.nullif("latitude", F.lit(0.0)).alias("latitude"), F.nullif("longitude", F.lit(0.0)).alias("longitude"))
     return best.join(names, "location_id").select(key, "location_id", "location_name", "latitude", "longitude", F.col("alias").alias("matched"), F.when(room.rlike("[1-9]"), F.upper(room)).alias("room"))

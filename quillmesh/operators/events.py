@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .. import schemas
 from ..functions import dates, fixed, html, text
 from . import dims
 
@@ -65,8 +66,8 @@ def extract(messages: DataFrame, locations: DataFrame) -> DataFrame:
     known = F.col("place.location_id").isNotNull() | flag(F.col("place.online"))
     points = score(exact, dated, known, F.col("place").isNotNull(), rlike(both, fixed.EVENT_WORDS), free_food, rlike(subject, fixed.NOT_EVENT), rlike(F.substring(body, 1, 1500), fixed.NOT_EVENT))
     rows = rows.withColumns({"both": both, "exact": exact, "free_food": free_food, "points": points})
-    is_event = F.col("when.starts_at").isNotNull() & (F.col("points") >= 4)
-    sure = confidence(F.col("points"), F.col("exact"), rlike(F.col("both"), fixed.NOT_EVENT))
+    rows = rows.withColumns({"found": F.col("when.starts_at").isNotNull() & (F.col("points") >= 4), "sure": confidence(F.col("points"), F.col("exact"), rlike(F.col("both"), fixed.NOT_EVENT))})
+    is_event, sure = F.col("found"), F.col("sure")
     tags = F.slice(F.array_distinct(F.concat(F.when(F.col("free_food"), F.array(F.lit("free food"))).otherwise(dims.empty_list()), text.tags_from_text("both"))), 1, 4)
     event = F.struct(
         text.clean_title(subject).alias("title"), text.summarize(body).alias("summary"), F.col("when.starts_at").alias("starts_at"), F.col("when.ends_at").alias("ends_at"),
@@ -76,7 +77,7 @@ def extract(messages: DataFrame, locations: DataFrame) -> DataFrame:
         (F.col("exact") & F.col("place.phrase").isNotNull() & (sure >= 0.7)).alias("publishable"),
     )
     notes = F.when(F.col("when.starts_at").isNull(), F.array(F.lit("no future date or time found"))).otherwise(dims.empty_list())
-    return rows.select("id", F.lit(RULES_VERSION).alias("version"), F.lit("rules").alias("method"), is_event.alias("is_event"), notes.alias("notes"), F.when(is_event, F.array(event)).otherwise(F.slice(F.array(event), 1, 0)).alias("events"))
+    return rows.select("id", F.lit(RULES_VERSION).alias("version"), F.lit("rules").alias("method"), is_event.alias("is_event"), notes.alias("notes"), F.coalesce(F.when(is_event, F.array(event)), F.array().cast(schemas.EXTRACTED)).alias("events"))
 
 
 Extractor = Callable[[DataFrame], DataFrame]
