@@ -276,6 +276,7 @@ def predict(df: DataFrame, model, id_col: str = "doc_id", text_col: str = "text"
 
 def annotate(df: DataFrame, model, text_col: str = "text") -> DataFrame:
     """df with the columns lang_pred and score of each row; columns of those names are replaced."""
+    common.small_batches(df.sparkSession)
     df = df.drop("lang_pred", "score")
     sent, at = df.sparkSession.sparkContext.broadcast(model), df.columns.index(text_col)
 

@@ -434,6 +434,7 @@ def masked(text: str, spans: list[Span]) -> str:
 
 def redact(df: DataFrame, text_col: str = "text", field: Field | None = None) -> DataFrame:
     """df with the spans of every text masked. Null texts stay null; all columns stay."""
+    common.small_batches(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(field or trained())
     at = df.columns.index(text_col)
 
