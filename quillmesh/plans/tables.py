@@ -12,8 +12,15 @@ from pyspark.sql.window import Window
 from ..functions import text
 
 
+#: Tables of texts, on which Python and regular expressions work long.
+TEXTS = ("documents", "pages", "conversations")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table. One of texts that lies in fewer pieces than there are cores is dealt to all of them; a large one never is."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if name in TEXTS and rows.rdd.getNumPartitions() < cores else rows
 
 
 def list_of(status: Column) -> Column:
