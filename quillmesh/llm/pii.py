@@ -41,6 +41,8 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
+#: str.isdigit also holds for superscripts and circled numbers, which int() rejects.
+DIGITS = frozenset("0123456789")
 
 
 def luhn(digits: str) -> bool:
@@ -130,10 +132,10 @@ class Region:
                 t = self.lower[j - 1]
                 if j - i > 1 and "\n" in self.text[self.tokens[j - 2][2] : self.tokens[j - 1][1]]:
                     break
-                digits += len(t) if t[0].isdigit() else 0
+                digits += len(t) if t[0] in DIGITS else 0
                 if digits > 22:
                     break
-                if t[0].isdigit() and (digits >= 4 or j - i == 1) or t.isalpha() and j - i >= 4:
+                if t[0] in DIGITS and (digits >= 4 or j - i == 1) or t.isalpha() and j - i >= 4:
                     out.append((i, j))
         return out
 
@@ -141,7 +143,7 @@ class Region:
         """Whole-segment features."""
         words = self.lower[i:j]
         raw = self.text[self.tokens[i][1] : self.tokens[j - 1][2]]
-        groups = [w for w in words if w[0].isdigit()]
+        groups = [w for w in words if w[0] in DIGITS]
         digits = "".join(groups)
         letters = sum(w.isalpha() for w in words)
         marks = "".join(sorted({w for w in words if not w.isalnum()}))
@@ -161,9 +163,9 @@ class Region:
         cue = next((CUES[w] for w in reversed(self.lower[max(0, i - 3) : i]) if w in CUES), "none")
         out.append(f"cue{cue}")
         edge = self.lower[i - 1] if i and self.tokens[i - 1][2] == self.tokens[i][1] else ""
-        out.append(f"before{'9' if edge[:1].isdigit() else 'x' if edge.isalpha() else edge}")
+        out.append(f"before{'9' if edge and edge[0] in DIGITS else 'x' if edge.isalpha() else edge}")
         edge = self.lower[j] if j < len(self.tokens) and self.tokens[j][1] == self.tokens[j - 1][2] else ""
-        out.append(f"after{'9' if edge[:1].isdigit() else 'x' if edge.isalpha() else edge}")
+        out.append(f"after{'9' if edge and edge[0] in DIGITS else 'x' if edge.isalpha() else edge}")
         out.append(f"joined{min(len(digits), 20)}|{sizes}|{marks}")
         return tuple(out)
 

@@ -180,6 +180,15 @@ def test_pii_field_finds_other_forms():
     assert pii.all_spans("On 2024-01-05 at 12:30 version 1.2.3 cost $120.50, order 1234567890.", field)[1] == []
 
 
+def test_pii_of_superscripts_and_circled_numbers(spark):
+    """They are no digits: texts with them are scanned like others, and what else is in them is found."""
+    odd = ["10² 20²", "3² + 4²", "① 2 ③ 4", "4111 1111 1111 111²", "x² y² 1² 2² 3² 4²", "10² 20² call (988) 555-2485 now, or a.b@c.example.com"]
+    frame = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string")
+    got = [r.spans for r in pii.find(frame).orderBy("doc_id").collect()]
+    assert got == ["", "", "", "", "", f"phone:{odd[5].index('(')}:{odd[5].index(' now')},email:{odd[5].index('a.b')}:{len(odd[5])}"]
+    assert [r.text for r in pii.redact(frame).orderBy("doc_id").collect()] == [*odd[:5], "10² 20² call <PHONE> now, or <EMAIL>"]
+
+
 def test_sharding(spark, folder, rows):
     got = sharding.op4_sharding(spark, folder).collect()
     assert len(got) == len(rows) and all(r.law == "bytes" and 0 <= r.shard < 16 and r.grown_shard is None for r in got)
