@@ -51,15 +51,19 @@ class Anchors:
     """The anchors of some texts: document, first and last string of each, and hash of its gram."""
 
     def __init__(self, texts: list[bytes]):
+        # A long text is cut so that places fit PLACE; parts overlap, so that every string starts in one of them.
+        parts = [(d, a, t[a : a + ANCHORED_BYTES + SPAN - 1]) for d, t in enumerate(texts) for a in range(0, max(1, len(t) - SPAN + 1), ANCHORED_BYTES)]
         found, at = [], 0
-        while at < len(texts):
+        while at < len(parts):
             end, size = at, 0
-            while end < len(texts) and (end == at or size + len(texts[end]) <= ANCHORED_BYTES):
-                size += len(texts[end])
+            while end < len(parts) and (end == at or size + len(parts[end][2]) <= ANCHORED_BYTES):
+                size += len(parts[end][2])
                 end += 1
-            found.append(Block(texts[at:end], at))
+            found.append(Block([t for _, _, t in parts[at:end]], at))
             at = end
-        self.doc, self.first, self.last, self.hash = (np.concatenate([getattr(b, name) for b in found]) if found else np.zeros(0, kind) for name, kind in (("doc", np.int64), ("first", np.int64), ("last", np.int64), ("hash", np.uint64)))
+        part, self.first, self.last, self.hash = (np.concatenate([getattr(b, name) for b in found]) if found else np.zeros(0, kind) for name, kind in (("doc", np.int64), ("first", np.int64), ("last", np.int64), ("hash", np.uint64)))
+        shift = np.array([a for _, a, _ in parts], np.int64)[part]
+        self.doc, self.first, self.last = np.array([d for d, _, _ in parts], np.int64)[part], self.first + shift, self.last + shift
 
 
 class Block:

@@ -252,6 +252,19 @@ def test_suffix_arrays(spark, folder, rows, docs):
     assert {r.doc_id: r.text for r in cleaned.collect()}[11].encode().endswith(b"end")
 
 
+def test_suffix_arrays_match_past_16_mib_of_a_text(spark):
+    rng = random.Random(11)
+    filler, passage = rng.randbytes(9 << 20).hex(), "".join(rng.choice("ghijklmnop") for _ in range(90))
+    at = (1 << 24) + 12_345
+    long = filler[:at] + passage + filler[at:]
+    alone, within = suffixarray.Anchors([passage.encode()]), suffixarray.Anchors([b"", long.encode()])
+    assert set(alone.hash.tolist()) <= set(within.hash[(within.first >= at - 50) & (within.last <= at + 90)].tolist()) and set(within.doc.tolist()) == {1}
+    assert (within.last - within.first + 1).sum() == len(long) - suffixarray.SPAN + 1
+    frame = spark.createDataFrame([(1, passage), (2, long), (3, "z" + passage)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, sha(r.kept)) for r in suffixarray.remove_repeats(frame).collect()}
+    assert got == {1: (90, 0, 0, sha(passage.encode())), 2: (len(long), 90, 1, sha(filler.encode())), 3: (91, 90, 1, sha(b"z"))}
+
+
 def test_suffix_order_and_common_prefixes():
     rng = random.Random(6)
     for _ in range(150):
