@@ -5,18 +5,25 @@ lower case) and one end. As symbols it is the words' bytes, a space after each
 word, and the end symbol: so the tree's probabilities are over token sequences.
 
 Contexts of up to DEPTH bytes are counted over all training documents. A
-context stays in the tree if it makes up at least LEAST_SHARE of all places and
-the distribution of its next symbol diverges from that of its longest proper
-suffix: share * KL divergence in bits >= DIVERGENCE. LEAST_SHARE bounds the
-contexts of each length by its inverse, whatever the corpus, and so what is
-sent to the driver and broadcast. Distributions are smoothed towards the
-suffix's: (n(s, x) + K p(x | suffix)) / (n(s) + K), and the root's towards the
-uniform one. A symbol is scored in the longest suffix of what precedes it that
-is in the tree; the tree becomes an automaton for that, closed under prefixes.
+context stays in the tree if it occurs LEAST_COUNT times and its distribution of
+the next symbol saves LEAST_BITS over that of its longest proper suffix: count *
+KL divergence in bits. Both are absolute, so the tree grows with the corpus.
+Suffixes of what stays stay, and contexts of one byte do that occur LEAST_COUNT
+times. Distributions are smoothed towards the suffix's: (n(s, x) + K p(x |
+suffix)) / (n(s) + K), and the root's towards the uniform one. A symbol is scored
+in the longest suffix of what precedes it that is in the tree.
+
+The tree is never in one place. Only the counts of pairs of bytes (65,536 at most)
+go to the driver and are broadcast; contexts of two bytes and more are dealt to
+buckets by their last two bytes, so that a bucket has whole branches. A chunk of
+documents sends its distinct grams (DEPTH bytes and the next) with their training
+counts to the buckets, and gets their log probabilities back.
 
 The base needs the count of every word. Its vocabulary grows with the corpus,
-so it is never in one place: documents are dealt to chunks, a chunk sends each
-distinct word once to the word's bucket, and gets the words' counts back.
+so it goes the same way: a chunk sends each distinct word once to the word's
+bucket, and gets the words' counts back.
+
+SuffixTree is the same kind of tree in one piece, for contexts that fit a driver.
 
 Null or empty texts have one token, the end. With no training document the base
 has c = N = V = 0 and every symbol is equally likely.
@@ -31,12 +38,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
 DEPTH = 5
+LEAST_COUNT = 2
+LEAST_BITS = 6.0
+#: For a tree in one piece.
 LEAST_SHARE = 6e-6
 DIVERGENCE = 2.5e-7
 #: K, the weight of the suffix's distribution.
@@ -65,46 +76,57 @@ def padded(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(parts), np.uint8), ends
 
 
+def keys_of(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The gram that ends at each place from DEPTH on; whether it ends in a text and not in padding; where each text starts, padding included."""
+    symbols, ends = padded(words)
+    keys = np.zeros(max(0, len(symbols) - DEPTH), np.uint64)
+    for k in range(DEPTH + 1):
+        keys = keys << np.uint64(8) | symbols[k : len(symbols) - DEPTH + k]
+    own = np.ones(len(keys), bool)
+    starts = ends[1:-1]
+    for k in range(DEPTH):
+        own[starts - DEPTH + k] = False
+    return keys, own, ends
+
+
+def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return keys[first], np.diff(np.r_[first, len(keys)]).astype(np.int64)
+
+
+def merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams in order, and the sums of their counts."""
+    keys, counts = np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held])
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return keys[first], np.add.reduceat(counts, first)
+
+
 def grams(df: DataFrame) -> DataFrame:
     """Counts of every symbol with the DEPTH symbols before it: gram long, n long."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def merged():
-            keys = np.concatenate([k for k, _ in held])
-            counts = np.concatenate([c for _, c in held])
-            order = np.argsort(keys, kind="stable")
-            keys, counts = keys[order], counts[order]
-            first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-            return keys[first], np.add.reduceat(counts, first)
-
         def table(keys, counts):
             return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(counts)], ["gram", "n"])
 
         size = 0
         for batch in common.slices(batches):
             _, texts = common.ids_and_texts(batch)
-            symbols, ends = padded([words_of(t) for t in texts])
-            keys = np.zeros(len(symbols) - DEPTH, np.uint64)
-            for k in range(DEPTH + 1):
-                keys = keys << np.uint64(8) | symbols[k : len(symbols) - DEPTH + k]
-            own = np.ones(len(keys), bool)  # key i ends at symbol i + DEPTH; those that end in padding go
-            starts = ends[1:-1]
-            for k in range(DEPTH):
-                own[starts - DEPTH + k] = False
-            keys = np.sort(keys[own])
-            first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-            held.append((keys[first], np.diff(np.r_[first, len(keys)]).astype(np.int64)))
-            size += len(first)
+            keys, own, _ = keys_of([words_of(t) for t in texts])
+            held.append(counted(keys[own]))
+            size += len(held[-1][0])
             if len(held) > 1 and size > 3_000_000:
-                keys, counts = merged()
+                keys, counts = merged(held)
                 held, size = [(keys, counts)], len(keys)
                 if size > 2_000_000:
                     yield table(keys, counts)
                     held, size = [], 0
         if held:
-            yield table(*merged())
+            yield table(*merged(held))
 
     return df.mapInArrow(common.trimmed(count), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
@@ -199,6 +221,68 @@ class SuffixTree:
         return np.add.reduceat(by_place, ends[:-1]) if len(words) else np.zeros(0)
 
 
+def branch_logs(keys: np.ndarray, counts: np.ndarray, pairs: np.ndarray, least: int = LEAST_COUNT, bits: float = LEAST_BITS) -> np.ndarray:
+    """log10 probability of each gram's last symbol after the others. keys: distinct, all that end in the same two-byte contexts; pairs: of all training texts, how often a byte (row) is followed by another."""
+    symbol, last = (keys & np.uint64(255)).astype(np.int64), (keys >> np.uint64(8) & np.uint64(255)).astype(np.int64)
+    p = (pairs.sum(0)[symbol] + PRIOR / SYMBOLS) / (pairs.sum() + PRIOR)
+    times = pairs.sum(1)[last]
+    p = np.where(times >= least, (pairs[last, symbol] + PRIOR * p) / (times + PRIOR), p)
+    best, levels = p, []
+    for length in range(2, DEPTH + 1):
+        own, first, of = np.unique(keys & np.uint64((1 << 8 * (length + 1)) - 1), return_index=True, return_inverse=True)
+        _, context = np.unique(own >> np.uint64(8), return_inverse=True)
+        n, before = np.bincount(of, counts), p[first]
+        total = np.bincount(context, n)
+        seen = n > 0
+        gain = np.bincount(context[seen], n[seen] * np.log2(n[seen] / total[context[seen]] / before[seen]), len(total))
+        p = np.where(total[context] >= least, (n + PRIOR * before) / (total[context] + PRIOR), before)[of]
+        levels.append((context[of], (total >= least) & (gain >= bits), p))
+    # What stays keeps its suffixes.
+    longer = np.zeros(len(keys), bool)
+    stays = []
+    for context, kept, p in reversed(levels):
+        longer = (kept | (np.bincount(context, longer, len(kept)) > 0))[context]
+        stays.append((longer, p))
+    for own, p in reversed(stays):
+        best = np.where(own, p, best)
+    return np.log10(best).astype(np.float32)
+
+
+def cuts(words: Iterator[tuple[bool, list[bytes]]]) -> Iterator[tuple[bool, list[list[bytes]]]]:
+    """Texts of one flag each, put together up to about half a slice."""
+    some: dict[bool, list] = {False: [], True: []}
+    size = {False: 0, True: 0}
+    for flag, own in words:
+        some[flag].append(own)
+        size[flag] += sum(map(len, own)) + len(own) + 1
+        if size[flag] >= common.SLICE_BYTES // 2:
+            yield flag, some[flag]
+            some[flag], size[flag] = [], 0
+    yield from ((flag, left) for flag, left in some.items() if left)
+
+
+def dealt(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each gram, by the last two bytes of its context."""
+    return (common.mix64(keys >> np.uint64(8) & np.uint64(0xFFFF)) % np.uint64(buckets)).astype(np.int64)
+
+
+def pair_counts(lists: DataFrame) -> np.ndarray:
+    """How often each byte is followed by each other in training texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << 16, np.int64)
+        for batch in batches:
+            for keys, counts in zip(batch.column("grams").to_pylist(), batch.column("times").to_pylist()):
+                np.add.at(total, (np.frombuffer(keys, "<u8") & np.uint64(0xFFFF)).astype(np.int64), np.frombuffer(counts, "<u4").astype(np.int64))
+        pair = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(pair.astype(np.int32)), pa.array(total[pair])], ["pair", "n"])
+
+    out = np.zeros(1 << 16, np.int64)
+    for r in lists.select("grams", "times").mapInArrow(common.trimmed(run), "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        out[r.pair] = r.n
+    return out.reshape(SYMBOLS, SYMBOLS)
+
+
 def bucketed(words, buckets: int) -> list[list[bytes]]:
     """Distinct words by bucket, in order, so that a chunk finds the same lists again."""
     out: list[list[bytes]] = [[] for _ in range(buckets)]
@@ -214,28 +298,52 @@ def chunked(df: DataFrame, folds: int) -> tuple[DataFrame, int]:
     return docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int")), chunks
 
 
-def vocabulary_lists(docs: DataFrame, buckets: int) -> DataFrame:
-    """Of each chunk and bucket: the distinct words, and their counts in the chunk's training documents."""
+LISTS = "bucket int, chunk int, words binary, counts binary, grams binary, times binary"
+
+
+def lists_of(docs: DataFrame, buckets: int) -> DataFrame:
+    """Of each chunk and bucket: the distinct words and grams, and their counts in the chunk's training documents."""
 
     def collect(group: pa.Table) -> pa.Table:
         counts: Counter = Counter()
-        for held, text in zip(group.column("held_out").to_pylist(), group.column("text").to_pylist()):
-            words = [*words_of(text or ""), END_WORD]
-            counts.update(dict.fromkeys(words, 0) if held else words)
+
+        def read() -> Iterator[tuple[bool, list[bytes]]]:
+            for held, text in zip(group.column("held_out").to_pylist(), group.column("text").to_pylist()):
+                own = words_of(text or "")
+                words = [*own, END_WORD]
+                counts.update(dict.fromkeys(words, 0) if held else words)
+                yield held, own
+
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        for held, words in cuts(read()):
+            keys, own, _ = keys_of(words)
+            keys, times = counted(keys[own])
+            parts.append((keys, times * (not held)))
+        keys, times = merged(parts)
+        place = dealt(keys, buckets)
+        order = np.argsort(place, kind="stable")
+        bounds = np.searchsorted(place[order], np.arange(buckets + 1))
+        own = [order[x:y] for x, y in zip(bounds[:-1], bounds[1:])]
         lists = bucketed(counts, buckets)
-        numbers = [np.array([counts[w] for w in ws], "<u4").tobytes() for ws in lists]
         n = len(lists)
-        return pa.table({"bucket": pa.array(range(n), pa.int32()), "chunk": pa.array([group.column("chunk")[0].as_py()] * n, pa.int32()), "words": pa.array([b" ".join(ws) for ws in lists], pa.binary()), "counts": pa.array(numbers, pa.binary())})
+        return pa.table({
+            "bucket": pa.array(range(n), pa.int32()), "chunk": pa.array([group.column("chunk")[0].as_py()] * n, pa.int32()), "words": pa.array([b" ".join(ws) for ws in lists], pa.binary()), "counts": pa.array([np.array([counts[w] for w in ws], "<u4").tobytes() for ws in lists], pa.binary()),
+            "grams": pa.array([keys[o].astype("<u8").tobytes() for o in own], pa.binary()), "times": pa.array([times[o].astype("<u4").tobytes() for o in own], pa.binary()),
+        })
 
-    return docs.select("chunk", "held_out", "text").groupBy("chunk").applyInArrow(common.trimmed_group(collect), "bucket int, chunk int, words binary, counts binary")
+    return docs.select("chunk", "held_out", "text").groupBy("chunk").applyInArrow(common.trimmed_group(collect), LISTS)
 
 
 def split_words(blob: bytes) -> list[bytes]:
     return blob.split(b" ") if blob else []
 
 
-def answers(lists: DataFrame) -> DataFrame:
-    """To each chunk the counts of its words; a row with a null chunk has the bucket's total and distinct words."""
+ANSWERS = "bucket int, chunk int, counts binary, tokens long, distinct long, grams binary, logs binary"
+
+
+def answers(lists: DataFrame, pairs: np.ndarray) -> DataFrame:
+    """To each chunk the counts of its words and the log probabilities of its grams; a row with a null chunk has the bucket's total and distinct words."""
+    sent = lists.sparkSession.sparkContext.broadcast(pairs)
 
     def add(group: pa.Table) -> pa.Table:
         total: dict[bytes, int] = {}
@@ -245,13 +353,19 @@ def answers(lists: DataFrame) -> DataFrame:
                 total[word] = total.get(word, 0) + n
         get = total.__getitem__
         replies = [np.fromiter(map(get, split_words(b)), "<i8").tobytes() for b in blobs]
+        asked = [np.frombuffer(b, "<u8") for b in group.column("grams").to_pylist()]
+        times = [np.frombuffer(b, "<u4").astype(np.int64) for b in group.column("times").to_pylist()]
+        keys, sums = merged(list(zip(asked, times))) if any(map(len, asked)) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        logs = branch_logs(keys, sums, sent.value) if len(keys) else np.zeros(0, np.float32)
+        found = [logs[np.searchsorted(keys, k)].astype("<f4").tobytes() for k in asked]
         bucket, rows = group.column("bucket")[0].as_py(), len(chunks) + 1
         return pa.table({
             "bucket": pa.array([bucket] * rows, pa.int32()), "chunk": pa.array([*chunks, None], pa.int32()), "counts": pa.array([*replies, None], pa.binary()),
             "tokens": pa.array([0] * len(chunks) + [sum(total.values())], pa.int64()), "distinct": pa.array([0] * len(chunks) + [sum(1 for n in total.values() if n)], pa.int64()),
+            "grams": pa.array([*group.column("grams").to_pylist(), None], pa.binary()), "logs": pa.array([*found, None], pa.binary()),
         })
 
-    return lists.groupBy("bucket").applyInArrow(common.trimmed_group(add), "bucket int, chunk int, counts binary, tokens long, distinct long")
+    return lists.groupBy("bucket").applyInArrow(common.trimmed_group(add), ANSWERS)
 
 
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -260,11 +374,10 @@ SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 def score(df: DataFrame, folds: int = 10) -> DataFrame:
     """Base and suffix-tree scores of every document; those whose id's crc32 is divisible by folds are not learnt from."""
     docs, chunks = chunked(df, folds)
-    tree = SuffixTree(frequent_contexts(common.written(grams(docs.where("not held_out").select("doc_id", "text")), "grams")))
-    replies = common.written(answers(vocabulary_lists(docs, chunks)), "counts")
+    lists = common.written(lists_of(docs, chunks), "lists")
+    replies = common.written(answers(lists, pair_counts(lists)), "answers")
     totals = replies.where("chunk is null").agg(F.sum("tokens"), F.sum("distinct")).first()
     tokens, distinct = totals[0] or 0, totals[1] or 0
-    sent = df.sparkSession.sparkContext.broadcast(tree)
 
     def rate(_key, left: pa.Table, right: pa.Table) -> pa.Table:
         doc_ids, held = left.column("doc_id").to_pylist(), left.column("held_out").to_pylist()
@@ -276,6 +389,8 @@ def score(df: DataFrame, folds: int = 10) -> DataFrame:
         rows = {w: i for i, w in enumerate(known)}
         counts = np.fromiter(known.values(), np.float64, len(known))
         logs = np.log10((counts + 0.1) / (tokens + 0.1 * (distinct + 1)))
+        read = lambda name, kind: np.concatenate([np.zeros(0, kind), *(np.frombuffer(b, kind) for b in right.column(name).to_pylist())])
+        grams_of, gram_logs = pa.array(read("grams", "<u8")), read("logs", "<f4")
         out: list[list] = [[] for _ in range(7)]
         at = 0
         while at < len(words):
@@ -283,7 +398,10 @@ def score(df: DataFrame, folds: int = 10) -> DataFrame:
             while end < len(words) and (end == at or size < common.SLICE_BYTES // 2):
                 size += sum(map(len, words[end])) + len(words[end])
                 end += 1
-            scores = sent.value.score(words[at:end])
+            keys, own, ends = keys_of(words[at:end])
+            by_place = np.zeros(ends[-1])
+            by_place[DEPTH:][own] = gram_logs[pc.index_in(pa.array(keys[own]), grams_of).to_numpy()]
+            scores = np.add.reduceat(by_place, ends[:-1])
             for k in range(at, end):
                 own = np.fromiter(map(rows.__getitem__, [*words[k], END_WORD]), np.int64, len(words[k]) + 1)
                 for column, value in zip(out, (doc_ids[k], held[k], len(own), int((counts[own] > 0).sum()), tokens, float(logs[own].sum()), float(scores[k - at]))):
@@ -292,7 +410,7 @@ def score(df: DataFrame, folds: int = 10) -> DataFrame:
         kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         return pa.table({c.split()[0]: pa.array(v, t) for c, v, t in zip(SCHEMA.split(", "), out, kinds)})
 
-    return docs.groupBy("chunk").cogroup(replies.where("chunk is not null").select("chunk", "bucket", "counts").groupBy("chunk")).applyInArrow(common.trimmed_pair(rate), SCHEMA)
+    return docs.groupBy("chunk").cogroup(replies.where("chunk is not null").select("chunk", "bucket", "counts", "grams", "logs").groupBy("chunk")).applyInArrow(common.trimmed_pair(rate), SCHEMA)
 
 
 def op9_suffixtree(spark: SparkSession, sf_dir: str) -> DataFrame:

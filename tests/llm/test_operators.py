@@ -365,6 +365,54 @@ def test_suffix_tree_probabilities_sum_to_one_and_states_are_longest_suffixes(sp
     assert abs(tree.score([words])[0] - total) < 1e-3 * abs(total)
 
 
+def brute_tree(train, least, bits, prior=4.0):
+    """log10 probability of a text under the tree of the given training texts, from plain counts."""
+    depth, counts = suffixtree.DEPTH, {}
+    stream = lambda t: bytes([suffixtree.END]) * depth + suffixtree.stream_of(suffixtree.words_of(t or ""))
+    for s in map(stream, train):
+        for i in range(depth, len(s)):
+            for n in range(depth + 1):
+                counts.setdefault(s[i - n : i], Counter())[s[i]] += 1
+    total = {k: c.total() for k, c in counts.items()}
+
+    def p(key, symbol):
+        before = p(key[1:], symbol) if key else 1 / 256
+        return (counts[key][symbol] + prior * before) / (total[key] + prior)
+
+    enough = lambda k: sum(n * np.log2(n / total[k] / p(k[1:], x)) for x, n in counts[k].items()) >= bits
+    kept = {b""}
+    for k in counts:
+        if k and total[k] >= least and (len(k) == 1 or enough(k)):
+            kept |= {k[i:] for i in range(len(k))}
+    return lambda t: sum(np.log10(p(next(s[i - n : i] for n in range(depth, -1, -1) if s[i - n : i] in kept), s[i])) for s in [stream(t)] for i in range(depth, len(s))), kept
+
+
+def test_suffix_tree_in_buckets_is_the_whole_tree(spark, rows, docs, monkeypatch):
+    monkeypatch.setattr(suffixtree.common, "PART_BYTES", 20_000)  # several chunks and buckets
+    of, kept = brute_tree([t for i, t in rows if zlib.crc32(str(i).encode()) % 10], suffixtree.LEAST_COUNT, suffixtree.LEAST_BITS)
+    got = suffixtree.score(docs).collect()
+    assert len(got) == len(rows) and len({len(k) for k in kept}) == suffixtree.DEPTH + 1
+    assert suffixtree.chunked(docs, 10)[1] > 3
+    for r in got:
+        want = of(dict(rows)[r.doc_id])
+        assert abs(r.score - want) < 1e-5 * max(1, abs(want)), r.doc_id
+
+
+def test_suffix_tree_keeps_attested_contexts_of_a_larger_corpus(spark):
+    """Eight occurrences in 2 MB, 4e-6 of all places, are learnt like eight in a few kB."""
+    rng = random.Random(12)
+    train = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10]
+    rare = train[:8]
+    word = lambda: "".join(rng.choice("abcdefghilmno") for _ in range(rng.randint(2, 8)))
+    filler = lambda n: " ".join(word() for _ in range(n))
+    scores = []
+    for n in (5, 1800):
+        frame = spark.createDataFrame([(i, filler(n) + (" qzjxvkq" if i in rare else "")) for i in range(200)] + [(1000, "qzjxvkq"), (1001, "")], "doc_id long, text string")
+        got = {r.doc_id: r.score for r in suffixtree.score(frame).collect()}
+        scores.append(got[1000] - got[1001])
+    assert scores[1] > -14 and scores[0] > -14, scores
+
+
 def test_digests(spark, folder, rows):
     got = digest.op10_digest(spark, folder).collect()
     ordered = sorted(rows, key=lambda r: (r[0], r[1] or ""))
