@@ -246,10 +246,10 @@ def q_crosspost_match(spark, sf_dir):
 @query()
 def q_reconcile(spark, sf_dir):
     """Arrival-order replay; SQL can't express it, tests hold it against a sequential one."""
-    e = table(spark, sf_dir, "events").where("value > 60")
+    e = table(spark, sf_dir, "events")
     lists = F.element_at(text.any_of(fixed.RESIDENTIAL_LISTS), (F.hash("event_type") % 7 + F.when(F.hash("event_type") % 7 <= 0, 7).otherwise(0)).cast("int"))
     rows = e.select(
-        F.col("event_id").cast("string").alias("id"), lists.alias("listserv"), F.lit(None).cast("string").alias("rfc_message_id"), F.concat_ws("/", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd HH")).alias("delivery_key"),
+        F.col("event_id").cast("string").alias("id"), lists.alias("listserv"), F.when(F.col("value") > 100, F.col("user_id").cast("string")).alias("rfc_message_id"), F.concat_ws("/", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd HH")).alias("delivery_key"),
         F.date_trunc("HOUR", "ts").cast("timestamp").alias("sent_at"), F.col("ts").cast("timestamp").alias("ingested_at"), F.lit(None).cast("string").alias("canonical_id"),
     )
     return reconcile.reconcile(rows)

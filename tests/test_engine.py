@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillmesh import schemas
 from quillmesh.functions import dates
 from quillmesh.operators import band, classify, dedupe, dims, events, reconcile, store
-from quillmesh.plans import read
+from quillmesh.plans import catalog, read
 from quillmesh.sources import feeds
 from quillmesh.streaming import ingest
 
@@ -151,6 +151,26 @@ def test_reconcile_in_order_of_arrival(spark):
     assert {r.id: r.match_id for r in reconcile.first_matches(rows).collect()}["b"] == "a"
 
 
+def test_q_reconcile_replays_all_events(spark, sf, monkeypatch):
+    """The registered query against a sequential replay of all events, by message id and by key."""
+    got = {r.id: r.canonical_id for r in catalog.q_reconcile(spark, sf).collect()}
+    with monkeypatch.context() as m:
+        m.setattr(catalog.reconcile, "reconcile", lambda rows: rows)
+        rows = sorted(catalog.q_reconcile(spark, sf).collect(), key=lambda r: (r.ingested_at, r.id))
+    arrived, canonical, by_id_alone = [], {}, 0
+    for me in rows:
+        canonical[me.id] = None
+        for other in arrived:
+            same = me.rfc_message_id is not None and me.rfc_message_id == other.rfc_message_id
+            near = me.delivery_key == other.delivery_key and abs((me.sent_at - other.sent_at).total_seconds()) <= 120
+            if me.listserv != other.listserv and (same or near):
+                canonical[me.id] = canonical[other.id] or other.id
+                by_id_alone += not near
+                break
+        arrived.append(me)
+    assert got == canonical and len(got) == spark.read.parquet(f"{sf}/events.parquet").count() and by_id_alone
+
+
 def raw(spark, *rows):
     base = {"listserv": "FREEFOOD", "archive_id": "x", "source_url": None, "subject": "s", "author_name": "Pat", "author_email": "pat@princeton.edu", "sent_at": SENT, "body_html": None, "body_text": None, "complete": True, "headers": None, "attachments": None, "via_hoagie": False}
     return spark.createDataFrame([tuple((base | r).values()) for r in rows], schemas.RAW_MESSAGE)
