@@ -417,7 +417,7 @@ def q_media(spark, sf_dir):
 
 @query()
 def q_summary(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.summarize("text").alias("summary"), text.clean_title(F.substring("text", 1, 120)).alias("title"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.summarize("text").alias("summary"), text.clean_title("text").alias("title"))
 
 
 @query()
