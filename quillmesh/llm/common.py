@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import math
+import os
+import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -18,8 +22,8 @@ SLICE_BYTES = 8 << 20
 #: Bytes of documents that a reducer of Python code is given, roughly.
 PART_BYTES = 32 << 20
 
-ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
+#: Tables up to this size are dealt anew if they lie in few pieces.
+DEALT_BYTES = 256 << 20
 
 #: Rows that the JVM hands to Python at once: texts are long, and both sides hold a batch whole.
 BATCH_ROWS = 1000
@@ -33,11 +37,14 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table; one that lies in fewer pieces than there are cores is dealt to all of them, a large one never is."""
+    """A table; one of DEALT_BYTES at most that lies in fewer pieces than there are cores is dealt to all of them."""
     small_batches(spark)
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    if rows.rdd.getNumPartitions() >= cores:
+        return rows
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(cores) if size <= DEALT_BYTES else rows
 
 
 def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -46,24 +53,89 @@ def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with a number after it where df has a column of that name (in any case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        free = next(n for n in (name, *(f"{name}_{k}" for k in range(2, len(taken) + 3))) if n.lower() not in taken)
+        taken.add(free.lower())
+        out.append(free)
+    return out
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir.
 
-    Only where it is unset (tests, local mode) a local folder is taken.
+    Only a session whose executors are threads of the driver may have none; it
+    gets a local folder. Elsewhere that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         checkpoint = spark.sparkContext.getCheckpointDir()
-        base = checkpoint.rsplit("/", 1)[0] if checkpoint else "/tmp/checkpoints"
+        if checkpoint:
+            return checkpoint.rsplit("/", 1)[0]
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir isn't set: it must name a folder that the driver and all executors share")
+        base = os.path.join(tempfile.gettempdir(), "checkpoints")
     return base.rstrip("/")
 
 
+#: Folders that this thread has written and not removed, oldest first.
+_STAGED = threading.local()
+
+
+def _staged() -> list[str]:
+    if not hasattr(_STAGED, "paths"):
+        _STAGED.paths = []
+    return _STAGED.paths
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def _at_exit(path: str) -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        _remove(spark, path)
+
+
+_HOMES: set[str] = set()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it: lineage is cut, lost executors lose nothing."""
+    """Write df as Parquet to the shared folder and read it: lineage is cut, lost executors lose nothing.
+
+    The folder is the application's own and goes when Python ends, if not before (see `sweep`).
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    home = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+    if home not in _HOMES:
+        _HOMES.add(home)
+        atexit.register(_at_exit, home)
+    path = f"{home}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _staged().append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def mark() -> int:
+    """Where `sweep` begins: folders written up to now stay."""
+    return len(_staged())
+
+
+def sweep(spark: SparkSession, since: int, *keep: DataFrame) -> None:
+    """Remove the folders written since the mark, but those of the tables that are still to be read."""
+    stay = {getattr(k, "staged_at", None) for k in keep}
+    paths = _staged()
+    for path in paths[since:]:
+        if path not in stay:
+            _remove(spark, path)
+    paths[since:] = [p for p in paths[since:] if p in stay]
 
 
 def partitions_for(total_bytes: float, each: int = PART_BYTES, least: int = 1) -> int:

@@ -38,6 +38,7 @@ def _state(edges: DataFrame) -> tuple:
 
 def components(edges: DataFrame) -> DataFrame:
     """node long, component long (its smallest node) of every node of edges (a long, b long); an edge to itself makes a component of one."""
+    since = common.mark()
     loops = edges.where("a = b").select("a").distinct()
     links = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     links, before = common.written(links, "edges"), None
@@ -47,6 +48,7 @@ def components(edges: DataFrame) -> DataFrame:
             break
         before = state
         links = common.written(small_star(large_star(links)), "edges")
+        common.sweep(links.sparkSession, since, links)
     nodes = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
     roots = links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     found = nodes.unionByName(roots)
