@@ -16,7 +16,9 @@ Texts are cut into chunks (white space, then a run without any), at which no
 word of the byte-level pattern crosses; each worker keeps the encodings of the
 chunks that it has met, up to a bound.
 
-Null texts count as empty: no ids, and an empty decoded text.
+Null texts count as empty: no ids, and an empty decoded text. Each row, also a
+repeated one or one with a null doc_id, gives one row; texts of any length are
+encoded whole; other columns go.
 """
 
 from __future__ import annotations
@@ -39,6 +41,8 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 #: Encodings of chunks kept by a worker.
 KEPT_CHUNKS = 400_000
+#: Longer chunks (words of a long text without blanks) aren't kept.
+KEPT_LENGTH = 200
 #: Answers about neighbouring tokens kept by a worker.
 KEPT_PAIRS = 1_000_000
 
@@ -188,7 +192,11 @@ class TrieEncoder:
                 new = set().union(*cut)
             self._learn(new)
         get = self.chunks.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
+        out = [b"".join(map(get, c)) for c in cut]
+        for chunk in new:
+            if len(chunk) > KEPT_LENGTH:
+                del self.chunks[chunk]
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit words. The string of a special token becomes that token."""

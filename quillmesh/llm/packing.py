@@ -15,12 +15,16 @@ and no state that grows; sequence ids hold the partition's number, and a task
 that runs again gives the same rows.
 
 Null or empty texts are documents of one token, the end token. Repeated rows
-are packed as often as they occur.
+(also those that share an id) are packed as often as they occur, a null doc_id
+stays null. Texts of any length are encoded whole: a run of LONG_BLANKS blanks or
+more, at which the fast encoder's pattern gives up, is left to the trie encoder,
+which gives the same ids. Other columns than the two that are named go.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
@@ -32,7 +36,7 @@ import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common
+from . import bpe, common
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 SPECIAL = {"<|endoftext|>": 50256}
@@ -41,6 +45,9 @@ END = np.zeros(1, dtype="<u4")
 #: Tokens of a step group, in windows.
 STEP_WINDOWS = 8
 SHORTEST_TIER = 64
+#: The fast encoder fails at about a million blanks in a row.
+LONG_BLANKS = 100_000
+BLANKS = re.compile(r"\s+")
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, context int, step_group long"
 
@@ -57,7 +64,11 @@ def encoding(path: str = RANKS) -> tiktoken.Encoding:
 
 
 def ids_with_end(text: str, path: str = RANKS) -> np.ndarray:
-    return np.concatenate([encoding(path).encode_to_numpy(text, allowed_special="all"), END]).astype("<u4", copy=False)
+    if len(text) >= LONG_BLANKS and any(m.end() - m.start() >= LONG_BLANKS for m in BLANKS.finditer(text)):
+        found = np.frombuffer(bpe.encoder(path.removesuffix(".tiktoken") + ".json").encode([text])[0], "<u4")
+    else:
+        found = encoding(path).encode_to_numpy(text, allowed_special="all")
+    return np.concatenate([found, END]).astype("<u4", copy=False)
 
 
 def tier_of(length: int, window: int = WINDOW) -> int:
@@ -114,8 +125,9 @@ def cut_at_powers(pieces: list[tuple[int, int, int]]) -> list[tuple[int, list[tu
     return out
 
 
-def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = RANKS, window: int = WINDOW) -> DataFrame:
-    """One row for each piece: where it comes from, its sequence and place there, the sequence's length and step group."""
+def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = RANKS, window: int = WINDOW, with_ids: bool = False) -> DataFrame:
+    """One row for each piece: where it comes from, its sequence and place there, the sequence's length and step group; with_ids: and its token ids, array<int>."""
+    schema = SCHEMA + ", ids array<int>" if with_ids else SCHEMA
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
@@ -126,6 +138,7 @@ def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             ids = [ids_with_end(t, path) for t in texts]
             raw = [memoryview(x).cast("B") for x in ids]
             columns: list[list] = [[] for _ in range(9)]
+            held: list[np.ndarray] = []
             filled = 0
             for tokens, pieces in sorted(pack([len(x) for x in ids], window), key=lambda s: -s[0]):
                 offset = 0
@@ -133,14 +146,19 @@ def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     row = (doc_ids[k], start, length, zlib.crc32(raw[k][4 * start : 4 * (start + length)]), len(ids[k]), sequence, offset, tokens, group + filled // (STEP_WINDOWS * window))
                     for column, value in zip(columns, row, strict=True):
                         column.append(value)
+                    if with_ids:
+                        held.append(ids[k][start : start + length])
                     offset += length
                 sequence += 1
                 filled += tokens
             group += -(-filled // (STEP_WINDOWS * window))
             kinds = [pa.int64()] * 7 + [pa.int32(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [c.split()[0] for c in SCHEMA.split(", ")])
+            arrays = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
+            if with_ids:
+                arrays.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, held)]), pa.int32()), pa.array(np.concatenate(held).astype(np.int32))))
+            yield pa.RecordBatch.from_arrays(arrays, [c.split()[0] for c in schema.split(", ")])
 
-    return common.documents(df, id_col, text_col).mapInArrow(common.trimmed(run), SCHEMA)
+    return common.documents(df, id_col, text_col).mapInArrow(common.trimmed(run), schema)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
