@@ -9,11 +9,17 @@ The piece probabilities are learnt by expectation maximisation from the words
 of at most PER_LANGUAGE labelled documents of each language, those of the
 smallest id hashes among the documents that aren't held out.
 
-Words are runs of letters in lower case, with a mark for their beginning; runs
-of more than BLOCK characters are scored in blocks. A text that is null or has
-no letter is ``und`` with score 0, as is every text when nothing was learnt.
+Words are runs of letters in lower case, with a mark for their beginning. All
+pieces of the vocabulary count, and all segmentations of a word of any length:
+words of more than SHORT characters are summed as logarithms, with only the
+sums that the longest piece can reach back to in memory. A text that is null or
+has no letter is ``und`` with score 0, as is every text when nothing was learnt.
 The score of a prediction is its posterior probability, languages being equally
 likely beforehand; ties go to the first language in order.
+
+Every row gives one row, repeated ones and those with a null doc_id too (which
+are never held out). ``annotate`` keeps all columns; where the table has columns
+of the names that it adds, the added ones get a number after theirs.
 """
 
 from __future__ import annotations
@@ -39,8 +45,10 @@ ROUNDS = 4
 SMOOTHING = 0.05
 #: Probability of a character that is no piece.
 UNKNOWN = 1e-7
-BLOCK = 40
-LONGEST_PIECE = 8
+#: Words up to this many characters, the mark included, are scored side by side.
+SHORT = 40
+#: Characters of a longer word whose pieces are looked up at once.
+WINDOW = 4096
 WORD = re.compile(r"[^\W\d_]+")
 START = "▁"
 #: Text whose languages are told at once.
@@ -53,30 +61,41 @@ SLOTS = 20
 
 
 class Pieces:
-    """The vocabulary as a hash table that arrays of characters are looked up in. Entry 0 is none, 1 any single character that is no piece."""
+    """The vocabulary as a hash table that arrays of characters are looked up in, of all pieces and all their beginnings.
+
+    Entry 0 is none, 1 any single character that is no piece.
+    """
 
     def __init__(self, path: str = VOCABULARY):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        pieces = sorted({p for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)) and len(p := model.id_to_piece(i)) <= LONGEST_PIECE})
-        self.count = len(pieces) + 2
-        codes = np.zeros((len(pieces), LONGEST_PIECE), np.uint64)
-        lengths = np.array([len(p) for p in pieces])
-        for i, p in enumerate(pieces):
+        pieces = sorted({model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))})
+        self.count, self.longest = len(pieces) + 2, max(map(len, pieces))
+        entry_of = {p: i + 2 for i, p in enumerate(pieces)}
+        longer = {p[:n] for p in pieces for n in range(1, len(p))}
+        known = sorted(longer | entry_of.keys())
+        lengths = np.array([len(p) for p in known])
+        codes = np.zeros((len(known), self.longest), np.uint64)
+        for i, p in enumerate(known):
             codes[i, : len(p)] = [ord(c) for c in p]
-        keys = np.zeros(len(pieces), np.uint64)
-        for at in range(LONGEST_PIECE):
-            keys = np.where(at < lengths, self.step(keys, codes[:, at]), keys)
+        keys = np.zeros(len(known), np.uint64)
+        with np.errstate(over="ignore"):
+            for at in range(self.longest):
+                keys = np.where(at < lengths, self.step(keys, codes[:, at]), keys)
         # Open addressing: each key lies at its slot or in the few after it.
-        self.keys, self.entries = np.zeros(1 << SLOTS, np.uint64), np.zeros(1 << SLOTS, np.int32)
-        self.probes = 1
-        for key, entry in zip(keys.tolist(), range(2, self.count)):
-            slot, probes = self.slot(np.uint64(key)), 1
-            while self.entries[slot]:
-                slot, probes = (slot + 1) & ((1 << SLOTS) - 1), probes + 1
-            self.keys[slot], self.entries[slot] = key, entry
-            self.probes = max(self.probes, probes)
+        self.keys, self.entries, self.more = np.zeros(1 << SLOTS, np.uint64), np.zeros(1 << SLOTS, np.int32), np.zeros(1 << SLOTS, bool)
+        entries, more = np.array([entry_of.get(p, 0) for p in known], np.int32), np.array([p in longer for p in known])
+        used, left, self.probes = np.zeros(1 << SLOTS, bool), np.arange(len(known)), 0
+        while len(left):
+            slots = (self.slot(keys[left]) + self.probes) & ((1 << SLOTS) - 1)
+            open_ = np.flatnonzero(~used[slots])
+            _, first = np.unique(slots[open_], return_index=True)
+            chosen = open_[first]
+            used[slots[chosen]] = True
+            self.keys[slots[chosen]], self.entries[slots[chosen]], self.more[slots[chosen]] = keys[left[chosen]], entries[left[chosen]], more[left[chosen]]
+            left = np.delete(left, chosen)
+            self.probes += 1
 
     @staticmethod
     def step(keys: np.ndarray, codes: np.ndarray) -> np.ndarray:
@@ -87,52 +106,127 @@ class Pieces:
         with np.errstate(over="ignore"):
             return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS)).astype(np.int64)
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        slot = self.slot(keys)
-        found = np.where(self.keys[slot] == keys, self.entries[slot], 0)
-        for _ in range(self.probes - 1):
-            slot = (slot + 1) & ((1 << SLOTS) - 1)
-            found = np.where((found == 0) & (self.keys[slot] == keys), self.entries[slot], found)
-        return found
-
-    def edges(self, words: list[str]) -> np.ndarray:
-        """Entries of the pieces that end at each character: words x characters x lengths, for words of one length."""
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The entry of each key, and whether a longer piece begins so."""
+        home = self.slot(keys)
+        found, more = np.zeros(len(keys), np.int32), np.zeros(len(keys), bool)
+        left = np.arange(len(keys))
+        for probe in range(self.probes):
+            slot = (home[left] + probe) & ((1 << SLOTS) - 1)
+            same = self.keys[slot] == keys[left]
+            found[left[same]], more[left[same]] = self.entries[slot[same]], self.more[slot[same]]
+            left = left[~same & (self.keys[slot] != 0)]
+            if not len(left):
+                break
+        return found, more
+
+    def edges(self, words: list[str]) -> list[list[tuple[int, np.ndarray | None, np.ndarray]]]:
+        """For words of one length: for each end the pieces that end there, as (length, words or None for all, entries)."""
         n = len(words[0])
-        codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), n).astype(np.uint64)
-        found = np.zeros((len(words), n + 1, LONGEST_PIECE + 1), np.int32)
-        for start in range(n):
-            keys = np.zeros(len(words), np.uint64)
-            for size in range(1, min(LONGEST_PIECE, n - start) + 1):
-                with np.errstate(over="ignore"):
-                    keys = self.step(keys, codes[:, start + size - 1])
-                entry = self.find(keys)
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), n).astype(np.uint64)
+        out: list[list] = [[] for _ in range(n + 1)]
+        with np.errstate(over="ignore"):
+            for start in range(n):
+                rows, keys = np.arange(len(words)), np.zeros(len(words), np.uint64)
+                for size in range(1, min(self.longest, n - start) + 1):
+                    keys = self.step(keys, codes[rows, start + size - 1])
+                    entry, more = self.find(keys)
+                    if size == 1:
+                        out[start + 1].append((1, None, np.where(entry == 0, 1, entry)))
+                    else:
+                        hit = np.flatnonzero(entry)
+                        if len(hit):
+                            out[start + size].append((size, rows[hit], entry[hit]))
+                    going = np.flatnonzero(more)
+                    if not len(going):
+                        break
+                    rows, keys = rows[going], keys[going]
+        return out
+
+    def places(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ends, lengths and entries of all pieces in one text, by end."""
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        rows, keys = np.arange(len(codes)), np.zeros(len(codes), np.uint64)
+        found = []
+        with np.errstate(over="ignore"):
+            for size in range(1, self.longest + 1):
+                keys = self.step(keys, codes[rows + size - 1])
+                entry, more = self.find(keys)
                 if size == 1:
                     entry = np.where(entry == 0, 1, entry)
-                found[:, start + size, size] = entry
-        return found
+                hit = np.flatnonzero(entry)
+                found.append((rows[hit] + size, np.full(len(hit), size), entry[hit]))
+                going = np.flatnonzero(more & (rows + size < len(codes)))
+                if not len(going):
+                    break
+                rows, keys = rows[going], keys[going]
+        ends, sizes, entries = (np.concatenate([f[i] for f in found]) for i in range(3))
+        order = np.argsort(ends, kind="stable")
+        return ends[order], sizes[order], entries[order]
+
 
+Edges = list[list[tuple[int, np.ndarray | None, np.ndarray]]]
 
-def forward(edges: np.ndarray, p: np.ndarray) -> np.ndarray:
+
+def forward(edges: Edges, p: np.ndarray, words: int) -> np.ndarray:
     """Sums over the segmentations of each prefix: words x characters + 1 x languages."""
-    words, ends, _ = edges.shape
-    alpha = np.zeros((words, ends, p.shape[1]))
+    alpha = np.zeros((words, len(edges), p.shape[1]))
     alpha[:, 0] = 1
-    for j in range(1, ends):
-        for size in range(1, min(LONGEST_PIECE, j) + 1):
-            alpha[:, j] += alpha[:, j - size] * p[edges[:, j, size]]
+    for j, pieces in enumerate(edges):
+        for size, rows, entry in pieces:
+            if rows is None:
+                alpha[:, j] += alpha[:, j - size] * p[entry]
+            else:
+                alpha[rows, j] += alpha[rows, j - size] * p[entry]
     return alpha
 
 
-def backward(edges: np.ndarray, p: np.ndarray) -> np.ndarray:
-    words, ends, _ = edges.shape
-    beta = np.zeros((words, ends, p.shape[1]))
+def backward(edges: Edges, p: np.ndarray, words: int) -> np.ndarray:
+    beta = np.zeros((words, len(edges), p.shape[1]))
     beta[:, -1] = 1
-    for i in range(ends - 2, -1, -1):
-        for size in range(1, min(LONGEST_PIECE, ends - 1 - i) + 1):
-            beta[:, i] += beta[:, i + size] * p[edges[:, i + size, size]]
+    for j in range(len(edges) - 1, 0, -1):
+        for size, rows, entry in edges[j]:
+            if rows is None:
+                beta[:, j - size] += beta[:, j] * p[entry]
+            else:
+                beta[rows, j - size] += beta[rows, j] * p[entry]
     return beta
 
 
+def long_log(word: str, pieces: Pieces, logs: np.ndarray) -> np.ndarray:
+    """Log of the sum over all segmentations of a word of any length, in each language.
+
+    The sums are kept as logarithms, and only those of the last `pieces.longest` prefixes: memory doesn't grow with the word.
+    """
+    reach = pieces.longest
+    state = [np.zeros(logs.shape[1])]
+    for at in range(0, len(word), WINDOW):
+        begin, end = max(0, at - reach + 1), min(len(word), at + WINDOW)
+        ends, sizes, entries = pieces.places(word[begin:end])
+        bounds = np.searchsorted(ends, np.arange(at + 1 - begin, end - begin + 2)).tolist()
+        sizes, costs = sizes.tolist(), logs[entries]
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            total = state[-sizes[a]] + costs[a]
+            for i in range(a + 1, b):
+                total = np.logaddexp(total, state[-sizes[i]] + costs[i])
+            state.append(total)
+        state = state[-reach:]
+    return state[-1]
+
+
+def long_expected(word: str, pieces: Pieces, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Entries of all pieces in a word, and how often each of them is expected in each language."""
+    ends, sizes, entries = pieces.places(word)
+    starts, costs = ends - sizes, logs[entries]
+    alpha, beta = np.full((len(word) + 1, logs.shape[1]), -np.inf), np.full((len(word) + 1, logs.shape[1]), -np.inf)
+    alpha[0] = beta[-1] = 0
+    for i, (a, b) in enumerate(zip(starts.tolist(), ends.tolist())):
+        alpha[b] = np.logaddexp(alpha[b], alpha[a] + costs[i])
+    for i, (a, b) in reversed(list(enumerate(zip(starts.tolist(), ends.tolist())))):
+        beta[a] = np.logaddexp(beta[a], beta[b] + costs[i])
+    return entries, np.exp(alpha[starts] + costs + beta[ends] - alpha[-1])
+
+
 def by_length(words: list[str], most: int = 4096) -> Iterator[list[str]]:
     ordered = sorted(words, key=len)
     at = 0
@@ -144,13 +238,10 @@ def by_length(words: list[str], most: int = 4096) -> Iterator[list[str]]:
         at = end
 
 
-def blocks_of(word: str) -> list[str]:
-    marked = START + word
-    return [marked[i : i + BLOCK] for i in range(0, len(marked), BLOCK)]
-
-
 def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    """Runs of letters; none if all of them are other signs that count as word characters (superscripts, fractions)."""
+    found = WORD.findall(text.lower())
+    return found if any(c.isalpha() for w in found for c in w) else []
 
 
 def learn(counts: dict[str, Counter], pieces: Pieces, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
@@ -159,22 +250,29 @@ def learn(counts: dict[str, Counter], pieces: Pieces, rounds: int = ROUNDS) -> t
     weights: dict[str, np.ndarray] = {}
     for k, lang in enumerate(langs):
         for word, n in counts[lang].items():
-            for block in blocks_of(word):
-                weights.setdefault(block, np.zeros(len(langs)))[k] += n
+            weights.setdefault(START + word, np.zeros(len(langs)))[k] += n
     p = np.full((pieces.count, len(langs)), 1 / pieces.count)
     p[0], p[1] = 0, UNKNOWN
-    groups = [(g, pieces.edges(g), np.array([weights[w] for w in g])) for g in by_length(list(weights))]
+    groups = [(g, pieces.edges(g), np.array([weights[w] for w in g])) for g in by_length([w for w in weights if len(w) <= SHORT])]
+    long = [w for w in weights if len(w) > SHORT]
     for _ in range(rounds):
         expected = np.zeros_like(p)
-        for _, edges, weight in groups:
-            alpha, beta = forward(edges, p), backward(edges, p)
+
+        def add(entry: np.ndarray, share: np.ndarray) -> None:
+            for k in range(len(langs)):
+                expected[:, k] += np.bincount(entry, share[:, k], pieces.count)
+
+        for words, edges, weight in groups:
+            alpha, beta = forward(edges, p, len(words)), backward(edges, p, len(words))
             scale = weight / alpha[:, -1]
-            for j in range(1, edges.shape[1]):
-                for size in range(1, min(LONGEST_PIECE, j) + 1):
-                    entry = edges[:, j, size]
-                    share = alpha[:, j - size] * p[entry] * beta[:, j] * scale
-                    for k in range(len(langs)):
-                        expected[:, k] += np.bincount(entry, share[:, k], pieces.count)
+            found = [(entry, alpha[slice(None) if rows is None else rows, j - size] * p[entry] * beta[slice(None) if rows is None else rows, j] * scale[slice(None) if rows is None else rows]) for j, ends in enumerate(edges) for size, rows, entry in ends]
+            add(np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]))
+        if long:
+            with np.errstate(divide="ignore"):
+                logs = np.log(p)
+            for word in long:
+                entry, share = long_expected(word, pieces, logs)
+                add(entry, share * weights[word])
         expected[:2] = 0
         p = (expected + SMOOTHING) / (expected.sum(0) + SMOOTHING * pieces.count)
         p[0], p[1] = 0, UNKNOWN
@@ -186,27 +284,23 @@ class Scorer:
 
     def __init__(self, model: tuple[list[str], np.ndarray, Pieces]):
         self.langs, self.p, self.pieces = model
+        with np.errstate(divide="ignore"):
+            self.logs = np.log(self.p)
         self.rows: dict[str, int] = {}
         self.table = np.zeros((0, len(self.langs)))
 
-    def block_logs(self, blocks: list[str]) -> dict[str, np.ndarray]:
-        out = {}
-        for group in by_length(blocks):
-            logs = np.log(forward(self.pieces.edges(group), self.p)[:, -1])
-            out.update(zip(group, logs))
-        return out
-
     def learn(self, words: set[str]) -> None:
         if len(self.rows) + len(words) > KEPT_WORDS:
             self.rows.clear()
             self.table = self.table[:0]
-        short = [w for w in words if len(w) < BLOCK]
-        logs = [np.log(forward(self.pieces.edges(g), self.p)[:, -1]) for g in by_length([START + w for w in short])]
-        names = [w[1:] for g in by_length([START + w for w in short]) for w in g]
-        for word in words.difference(short):
-            parts = self.block_logs(list(dict.fromkeys(blocks_of(word))))
-            logs.append(sum(parts[b] for b in blocks_of(word))[None])
-            names.append(word)
+        names, logs = [], []
+        for group in by_length([START + w for w in words if len(w) < SHORT]):
+            logs.append(np.log(forward(self.pieces.edges(group), self.p, len(group))[:, -1]))
+            names += [w[1:] for w in group]
+        for word in words:
+            if len(word) >= SHORT:
+                logs.append(long_log(START + word, self.pieces, self.logs)[None])
+                names.append(word)
         self.rows.update(zip(names, range(len(self.table), len(self.table) + len(names))))
         self.table = np.concatenate([self.table, *logs])
 
@@ -275,9 +369,9 @@ def predict(df: DataFrame, model, id_col: str = "doc_id", text_col: str = "text"
 
 
 def annotate(df: DataFrame, model, text_col: str = "text") -> DataFrame:
-    """df with the columns lang_pred and score of each row; columns of those names are replaced."""
+    """df with two more columns, lang_pred and score, under free names (the last two columns of the result)."""
     common.small_batches(df.sparkSession)
-    df = df.drop("lang_pred", "score")
+    names = common.free_names(df, "lang_pred", "score")
     sent, at = df.sparkSession.sparkContext.broadcast(model), df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,9 +379,9 @@ def annotate(df: DataFrame, model, text_col: str = "text") -> DataFrame:
         for batch in common.slices(batches, SLICE_BYTES):
             found = judge.predict([t or "" for t in batch.column(at).to_pylist()])
             columns = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *names])
 
-    schema = T.StructType([*df.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*df.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
     return df.mapInArrow(common.trimmed(run), schema)
 
 
