@@ -17,6 +17,12 @@ filter of the shorter chain takes its best partner, weighted by its features.
 A text of fewer than WINDOW bytes, or of no window that can be taken, is itself
 its only feature. The empty (or null) text has the empty digest, which is like
 another empty one (1.0) and nothing else. Equal texts have equal digests.
+
+In ``compare_with_edits`` the next document is that of the next larger doc_id;
+of rows that share an id, each is followed by the next in order of their texts.
+Rows with a null doc_id follow one another, in the order of the hash of their
+texts, the last by the first. Texts of any length are read whole; other columns
+go.
 """
 
 from __future__ import annotations
@@ -42,7 +48,9 @@ PROBES = 5
 BLOCK = 1 << 16
 #: Bytes of documents in a range of ids: small, so that ranges spread evenly over tasks.
 RANGE_BYTES = 8 << 20
-FIRST_ID = -(1 << 63)
+#: Bound of the ranges (beyond 512 GB they grow instead), and of the keys that their borders are found from.
+MOST_RANGES = 1 << 16
+SAMPLED = 4_000_000
 
 SCALE = 1 << 16
 _LOGS = np.array([0] + [round(SCALE * c * np.log2(c)) for c in range(1, WINDOW + 2)], np.int64)
@@ -218,12 +226,19 @@ def edited(text: str, following: str) -> str:
 def in_order(docs: DataFrame) -> DataFrame:
     """Rows by ranges of ids, each range ended by a copy of the first rows of the next (of the first range, after the last).
 
-    Texts are shuffled once. Only the borders of the ranges reach the driver.
+    Rows without an id have an order of their own, by the hash of their text. Texts are shuffled once.
     """
-    keyed = docs.withColumn("key", F.coalesce("doc_id", F.lit(FIRST_ID)))
+    rows, nulls = docs.agg(F.count("*"), F.count_if(F.col("doc_id").isNull())).first()
+    out = _ring(docs.where("doc_id is not null").withColumn("key", F.col("doc_id")), rows - nulls)
+    return out.unionByName(_ring(docs.where("doc_id is null").withColumn("key", F.xxhash64(F.coalesce("text", F.lit("")))), nulls)) if nulls else out
+
+
+def _ring(keyed: DataFrame, count: int) -> DataFrame:
+    """The driver sees MOST_RANGES borders at most; those are quantiles of the keys, or of about SAMPLED of them: ranges needn't be equal, only alike."""
     size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = common.partitions_for(size, RANGE_BYTES)
-    cuts = keyed.agg(F.percentile_approx("key", [i / ranges for i in range(1, ranges)] or [0.5], max(10_000, 20 * ranges))).first()[0] or []
+    ranges = min(MOST_RANGES, common.partitions_for(size, RANGE_BYTES))
+    some = keyed.select("key") if count <= SAMPLED else keyed.select("key").sample(SAMPLED / count, 1)
+    cuts = some.agg(F.percentile_approx("key", [i / ranges for i in range(1, ranges)] or [0.5], max(10_000, 20 * ranges))).first()[0] or []
     borders = np.array(sorted(set(cuts)), np.int64) if ranges > 1 else np.zeros(0, np.int64)
 
     def first_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
