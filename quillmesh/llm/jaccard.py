@@ -1,7 +1,8 @@
 """N-gram Jaccard join: exact, by prefix trees over globally ordered shingle sets.
 
-Documents whose shingle sets are equal are one member, known by a hash of the
-set. Members go through these steps.
+Documents whose shingle sets are equal are one member, known by 64 bits of a
+hash of the set. 64 more bits tell sets apart that share those: all but the
+first get a name of their own. Members go through these steps.
 
 1. Frequencies. Every shingle goes to the bucket of its hash, which tells each
    member which of its shingles others have too, and in how many members.
@@ -15,24 +16,33 @@ set. Members go through these steps.
    own is linked with nothing and goes. The rest fall into groups: members that
    share a shingle of both prefixes, and so on, are in one group, so links never
    leave a group.
-3. Trie. In each group the sets, most frequent shingle first, are inserted into
+3. Segments. Groups that are too large for one task, as chance meetings chain up
+   in a large corpus, are told apart by a stronger sign. Shingles are dealt by hash to one
+   segment more than two linked sets can differ in, so one segment is equal in
+   both. Members that share a whole segment, and so on, are a group.
+4. Trie. In each group the sets, most frequent shingle first, are inserted into
    a path-compressed trie, smaller sets first. A set walks the trie before it is
    inserted; the overlap with a path is counted once for all sets that share
    the path, and a subtree is left when the overlap so far and the shingles that
    remain, on either side, can't reach the threshold. Subtrees that are already
    known to be in the walker's component are left too.
-4. Groups beyond GROUP_MEMBERS are cut into chunks, each joined on its own;
-   then representatives of the chunks' components are joined, and last the
-   members outside a group's largest component meet every chunk. This loses no
-   pair that isn't connected already, and never puts a whole group in one task.
+5. Groups beyond GROUP_MEMBERS or GROUP_BYTES still are cut into chunks, each
+   joined on its own; then representatives of the chunks' components are joined,
+   and last the members outside a group's largest component, in blocks, meet
+   every chunk. This loses no pair that isn't connected already, and a task never
+   holds more than a chunk and a block.
 
 A document without words (or null) has an empty set and is linked with nothing;
 its component is itself. One with fewer words than a shingle has the whole
-sequence as its one shingle. Rows that share an id are one document.
+sequence as its one shingle. Every row is linked by its own text, also if its id
+occurs again or is null; a component is named after the smallest id in it (null
+if it has none). Texts of any length are read whole; other columns go, but in
+``one_of_each`` stay.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,7 +63,11 @@ COUNTED = 2_000_000
 FREQUENT_SHARE = 1000
 FREQUENT_LEAST = 64
 BUCKET_BYTES = 24 << 20
+#: A group up to this many members and bytes of sets is joined by one task.
 GROUP_MEMBERS = 2000
+GROUP_BYTES = 64 << 20
+#: Empty segments that a set may have before it is dealt to segments anew, and how often it is.
+EMPTY_SEGMENTS, DEALS = 3, 4
 KEY_BYTES = 6
 KEY_MASK = np.uint64((1 << 8 * KEY_BYTES) - 1)
 
@@ -104,44 +118,47 @@ def shingle_hashes(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
     return out
 
 
-def set_hash(hashes: np.ndarray) -> int:
-    import hashlib
+def set_hash(hashes: np.ndarray) -> tuple[int, int]:
+    """128 bits that tell the set: 64 that name it, and 64 to check the name."""
+    raw = hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
+    return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
 
-    return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True)
 
-
-def shingled(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[list[int], list[np.ndarray], list[int]]]:
-    """doc_ids, sets and set hashes, some documents at a time."""
+def shingled(batches: Iterator[pa.RecordBatch], words: int, bits: int, renamed: dict[tuple[int, int], int]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], list[int], list[int]]]:
+    """The rows, and their sets, members and checks, some documents at a time. bits: of the first hash that name a set (fewer only in tests)."""
     with np.errstate(over="ignore"):
         for batch in common.slices(batches, HASHED_BYTES):
-            doc_ids, texts = common.ids_and_texts(batch)
+            _, texts = common.ids_and_texts(batch)
             sets = shingle_hashes([t.encode().lower() for t in texts], words)
-            yield doc_ids, sets, [set_hash(s) for s in sets]
+            hashes = [(m & (1 << bits) - 1 if bits < 64 else m, c) for m, c in map(set_hash, sets)]
+            yield batch, sets, [renamed.get(h, h[0]) for h in hashes], [h[1] for h in hashes]
+
+
+ROWS = "doc_id long, hash long, n long, member long, check long, shingle long, local long"
 
 
-def members_and_counts(docs: DataFrame, words: int) -> DataFrame:
-    """Rows (doc_id, n, member) of all documents, and rows (shingle, count) of what is frequent in some part of them."""
+def members_and_counts(docs: DataFrame, words: int, bits: int = 64) -> DataFrame:
+    """Rows (doc_id, hash of the text, n, member, check) of all documents, and rows (shingle, local count) of what is frequent in some part of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         seen: set[int] = set()
         size = count = 0
 
-        def rows(doc_ids, n, member, shingle, local):
-            columns = [(doc_ids, pa.int64()), (n, pa.int64()), (member, pa.int64()), (shingle, pa.int64()), (local, pa.int64())]
-            length = max(len(doc_ids), len(shingle))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) if len(c) else pa.nulls(length, t) for c, t in columns], ["doc_id", "n", "member", "shingle", "local"])
+        def rows(*columns):
+            length = max(map(len, columns))
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) if len(c) else pa.nulls(length, pa.int64()) for c in columns], [c.split()[0] for c in ROWS.split(", ")])
 
         def frequent():
             keys = np.sort(np.concatenate(held))
             first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
             times = np.diff(np.r_[first, len(keys)])
             many = times >= max(8, count // FREQUENT_SHARE)
-            return rows([], [], [], keys[first[many]].astype(np.int64), times[many].astype(np.int64))
+            return rows([], [], [], [], [], keys[first[many]].astype(np.int64), times[many].astype(np.int64))
 
-        for doc_ids, sets, hashes in shingled(batches, words):
-            yield rows(doc_ids, [len(s) for s in sets], hashes, [], [])
-            for own, member in zip(sets, hashes):
+        for batch, sets, members, checks in shingled(batches, words, bits, {}):
+            yield rows(batch.column("doc_id").to_pylist(), batch.column("hash").to_pylist(), [len(s) for s in sets], members, checks, [], [])
+            for own, member in zip(sets, members):
                 if len(own) and member not in seen:
                     seen.add(member)
                     held.append(own)
@@ -154,7 +171,18 @@ def members_and_counts(docs: DataFrame, words: int) -> DataFrame:
         if held:
             yield frequent()
 
-    return docs.mapInArrow(common.trimmed(run), "doc_id long, n long, member long, shingle long, local long")
+    return docs.mapInArrow(common.trimmed(run), ROWS)
+
+
+def names_of(members: DataFrame) -> dict[tuple[int, int], int]:
+    """New names of sets whose name another set has: none, but for about one pair in 2^64."""
+    members = members.where("n > 0")
+    taken = members.groupBy("member").agg(F.min("check").alias("first"), F.max("check").alias("last")).where("first <> last").select("member", "first").collect()
+    if not taken:
+        return {}
+    names = members.sparkSession.createDataFrame([(r['member'], r['first']) for r in taken], "member long, first long")
+    again = members.join(F.broadcast(names), "member").where("check <> first").select("member", "check").distinct()
+    return {(r.member, r.check): r.member ^ r.check for r in again.collect()}
 
 
 def packed(keys: np.ndarray) -> bytes:
@@ -183,11 +211,11 @@ def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 POSTINGS = "bucket int, kind int, members binary, counts binary, keys binary, sizes binary"
 
 
-def postings(docs: DataFrame, words: int, buckets: int, frequent) -> DataFrame:
+def postings(docs: DataFrame, words: int, buckets: int, frequent, renamed: dict[tuple[int, int], int], bits: int = 64) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = frequent.value
         seen: set[int] = set()
-        for _, sets, hashes in shingled(batches, words):
+        for _, sets, hashes, _ in shingled(batches, words, bits, renamed):
             own = []
             for s, m in zip(sets, hashes):
                 if len(s) and m not in seen:
@@ -439,15 +467,78 @@ def join_groups(rows: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> Data
     return rows.select("key", "member", "n", "shingles", "label").repartition("key").sortWithinPartitions("key").mapInArrow(common.trimmed(run), "a long, b long")
 
 
+def segment_counts(n: int, threshold: tuple[int, int]) -> tuple[int, int]:
+    """The size class of a set of n, and the number of segments for pairs whose smaller set is of that class."""
+    a, b = threshold
+    low, scheme = 1, 0
+    while (high := b * low // a + 1) <= n:  # no set below low is linked with one of high or more
+        low, scheme = high, scheme + 1
+    return scheme, (high - 1) * (b - a) // a + 1 + EMPTY_SEGMENTS
+
+
+def segment_signs(n: int, elements: np.ndarray, threshold: tuple[int, int]) -> list[int]:
+    """Hashes of the set's non-empty segments: two linked sets have one in common.
+
+    Two linked sets differ in at most (high - 1) (1 - t) / t elements, so of the
+    segments EMPTY_SEGMENTS + 1 at least are equal in both. If one of the two has
+    no more empty ones than that, one of the equal ones isn't empty. If both have
+    more, both are dealt anew; after DEALS times they share a sign that says so.
+    """
+    scheme, segments = segment_counts(n, threshold)
+    plans = [(scheme, segments)]
+    if scheme:
+        low = n
+        while segment_counts(low, threshold)[0] == scheme:
+            low = low * threshold[0] // threshold[1]
+        plans.append(segment_counts(max(1, low), threshold))
+    out: list[int] = []
+    with np.errstate(over="ignore"):
+        for scheme, segments in plans:
+            for deal in range(DEALS):
+                mixed = common.mix64(elements ^ np.uint64((deal + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+                place = mixed % np.uint64(segments)
+                order = np.argsort(place, kind="stable")
+                first, _ = runs(place[order])
+                sums = np.add.reduceat(common.mix64(mixed[order]), first)
+                out += common.mix64(sums ^ common.mix64(place[order][first] + np.uint64((scheme * DEALS + deal) << 32))).view(np.int64).tolist()
+                if segments - len(first) <= EMPTY_SEGMENTS:
+                    break
+            else:
+                out.append(scheme)
+    return out
+
+
+def told_apart(rows: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """rows (member, n, shingles) in groups of members that share a segment, and so on: grp. Members that share none are linked with nothing and go."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            signs = [segment_signs(n, np.frombuffer(x, np.uint64), threshold) for n, x in zip(batch.column("n").to_pylist(), batch.column("shingles").to_pylist())]
+            members = np.repeat(batch.column("member").to_numpy(), [len(x) for x in signs])
+            yield pa.RecordBatch.from_arrays([pa.array(members), pa.array([x for own in signs for x in own], pa.int64())], ["member", "sign"])
+
+    signs = common.written(rows.select("member", "n", "shingles").mapInArrow(common.trimmed(run), "member long, sign long"), "signs")
+    least = signs.groupBy("sign").agg(F.min("member").alias("least"), F.count("*").alias("times")).where("times > 1")
+    grouped = components(signs.join(least, "sign").select(F.col("member").alias("a"), F.col("least").alias("b")).distinct())
+    return rows.join(grouped.select(F.col("node").alias("member"), F.col("component").alias("grp")), "member")
+
+
+def in_chunks(rows: DataFrame) -> DataFrame:
+    """rows with the number of chunks of their group, and their own."""
+    sizes = rows.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / GROUP_MEMBERS), F.ceil(F.sum(F.octet_length("shingles")) / GROUP_BYTES)).alias("chunks"))
+    return rows.join(sizes, "grp").withColumn("chunk", F.pmod(F.xxhash64("member"), F.col("chunks")))
+
+
 def link_components(found: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """member, component (smallest member) of the linked members, from candidates()."""
     edges = found.select("member", F.explode("prefix").alias("shingle"))
     least = edges.groupBy("shingle").agg(F.min("member").alias("least"), F.count("*").alias("times")).where("times > 1")
     grouped = components(edges.join(least, "shingle").select(F.col("member").alias("a"), F.col("least").alias("b")).distinct())
-    rows = found.select("member", "n", "shingles").join(grouped.withColumnRenamed("node", "member").withColumnRenamed("component", "grp"), "member")
-    sizes = grouped.groupBy(F.col("component").alias("grp")).agg(F.ceil(F.count("*") / GROUP_MEMBERS).alias("chunks"))
-    rows = rows.join(sizes.where("chunks > 0"), "grp").withColumn("chunk", F.pmod(F.xxhash64("member"), F.col("chunks")))
-    rows = common.written(rows.where("chunks = 1").withColumn("chunk", F.lit(0).cast("long")).unionByName(rows.where("chunks > 1")), "groups")
+    rows = found.select("member", "n", "shingles").join(grouped.select(F.col("node").alias("member"), F.col("component").alias("grp")), "member")
+    rows = common.written(in_chunks(rows), "groups")
+    large = rows.where("chunks > 1").select("member", "n", "shingles")
+    if not large.isEmpty():
+        rows = common.written(rows.where("chunks = 1").unionByName(in_chunks(told_apart(large, threshold))), "groups")
     keyed = rows.withColumn("key", F.xxhash64("grp", "chunk")).withColumn("label", F.col("member"))
     links = common.written(join_groups(keyed, threshold), "links")
     large = rows.where("chunks > 1")
@@ -458,12 +549,16 @@ def link_components(found: DataFrame, threshold: tuple[int, int] = THRESHOLD) ->
     reps = with_label.where("member = label").withColumn("part", F.floor(F.row_number().over(Window.partitionBy("grp", F.pmod(F.xxhash64("member"), F.lit(64))).orderBy("member")) / GROUP_MEMBERS))
     links = common.written(links.unionByName(join_groups(reps.withColumn("key", F.xxhash64("grp", "part")), threshold)), "links")
     with_label = _labelled(large, links)
-    per_label = with_label.groupBy("grp", "label").agg(F.count("*").alias("times"))
+    per_label = with_label.groupBy("grp", "label").agg(F.count("*").alias("times"), F.sum(F.octet_length("shingles")).alias("bytes"))
     major = per_label.groupBy("grp").agg(F.max_by("label", F.struct("times", "label")).alias("major"), F.count("*").alias("labels")).where("labels > 1").select("grp", "major")
-    open_groups = with_label.join(major, "grp")
-    minor = open_groups.where("label <> major").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    last = open_groups.where("label = major").unionByName(minor)
-    return components(common.written(links.unionByName(join_groups(last.withColumn("key", F.xxhash64("grp", "chunk")), threshold)), "links"))
+    minor_size = per_label.join(major, "grp").where("label <> major").groupBy("grp", "major").agg(F.greatest(F.ceil(F.sum("times") / GROUP_MEMBERS), F.ceil(F.sum("bytes") / GROUP_BYTES)).alias("blocks"))
+    open_groups = with_label.join(minor_size, "grp")
+    # A task has a chunk and a block of minor members: each of these meets all others, whatever their chunk.
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    whole = open_groups.withColumn("block", upto("blocks"))
+    minor = open_groups.where("label <> major").withColumn("block", F.pmod(F.xxhash64("member", F.lit(1)), F.col("blocks"))).withColumn("chunk", upto("chunks"))
+    last = whole.unionByName(minor).withColumn("key", F.xxhash64("grp", "chunk", "block"))
+    return components(common.written(links.unionByName(join_groups(last, threshold)), "links"))
 
 
 def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
@@ -471,22 +566,36 @@ def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
     return common.written(rows.join(known, "member", "left").withColumn("label", F.coalesce("label", "member")), "labels")
 
 
-def join(df: DataFrame, words: int = WORDS, threshold: tuple[int, int] = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
-    spark = df.sparkSession
-    docs = common.documents(df, id_col, text_col)
-    first = common.written(members_and_counts(docs, words), "members")
-    members = first.where("shingle is null").select("doc_id", "n", "member")
+def joined(docs: DataFrame, words: int, threshold: tuple[int, int], bits: int = 64) -> DataFrame:
+    """doc_id, hash, n_shingles, component_id of every row of docs (doc_id, text, hash of the text)."""
+    spark, since = docs.sparkSession, common.mark()
+    first = common.written(members_and_counts(docs, words, bits), "members")
+    members = first.where("shingle is null").select("doc_id", "hash", "n", "member", "check")
     count, total = members.agg(F.count("*"), F.sum("n")).first()
+    renamed = names_of(members)
+    if renamed:
+        names = spark.createDataFrame([(m, c, new) for (m, c), new in renamed.items()], "member long, check long, new long")
+        members = members.join(F.broadcast(names), ["member", "check"], "left").withColumn("member", F.coalesce("new", "member")).drop("new")  # a row for each clash of 64-bit hashes
     hot = [r.shingle for r in first.where("shingle is not null").groupBy("shingle").agg(F.sum("local").alias("times")).where(F.col("times") >= max(FREQUENT_LEAST, count // (2 * FREQUENT_SHARE))).collect()]
     frequent = spark.sparkContext.broadcast(np.sort(np.array(hot, np.int64).view(np.uint64)))
     buckets = common.partitions_for((total or 0) * KEY_BYTES, BUCKET_BYTES // 2)
-    found = common.written(candidates(shared(postings(docs, words, buckets, frequent), buckets), threshold), "candidates")
+    found = common.written(candidates(shared(postings(docs, words, buckets, frequent, renamed, bits), buckets), threshold), "candidates")
     linked = link_components(found, threshold).select(F.col("node").alias("member"), "component")
     # Members of a component are the documents with their sets; its id is the smallest of their doc_ids.
-    placed = members.join(linked, "member", "left").withColumn("component", F.when(F.col("n") > 0, F.coalesce("component", "member")))
-    least = placed.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("least"))
-    return placed.join(least, "component", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    placed = common.written(members.join(linked, "member", "left").select("doc_id", "hash", "n", F.when(F.col("n") > 0, F.coalesce("component", "member")).alias("component")), "placed")
+    least = common.written(placed.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("least")), "least")
+    common.sweep(spark, since, placed, least)
+    named = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id"))
+    return placed.join(least, "component", "left").select("doc_id", "hash", F.col("n").alias("n_shingles"), named.alias("component_id"))
+
+
+def with_hash(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return common.documents(df, id_col, text_col).withColumn("hash", F.xxhash64("text"))
+
+
+def join(df: DataFrame, words: int = WORDS, threshold: tuple[int, int] = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", bits: int = 64) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row."""
+    return joined(with_hash(df, id_col, text_col), words, threshold, bits).drop("hash")
 
 
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -494,7 +603,9 @@ def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(common.table(spark, sf_dir, "documents"))
 
 
-def one_of_each(df: DataFrame, words: int, threshold: tuple[int, int]) -> DataFrame:
-    """The rows of df but those whose component has a smaller doc_id. Rows with a null doc_id stay."""
-    gone = join(df, words, threshold).where("doc_id <> component_id").select("doc_id").distinct()
-    return df.join(gone, "doc_id", "left_anti").select(*df.columns)
+def one_of_each(df: DataFrame, words: int, threshold: tuple[int, int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of df but those linked, through others or not, with a row of a smaller id (any id, if their own is null). Rows that share the id that a component is named after all stay."""
+    found = joined(with_hash(df, id_col, text_col), words, threshold)
+    gone = found.where("component_id is not null and not (doc_id <=> component_id)").select(F.col("doc_id").alias("g_id"), F.col("hash").alias("g_hash")).distinct()
+    own, key = F.xxhash64(F.col(f"d.`{text_col}`").cast("string")), F.col(f"d.`{id_col}`").cast("long")
+    return df.alias("d").join(gone, (own == F.col("g_hash")) & key.eqNullSafe(F.col("g_id")), "left_anti").select(*(F.col(f"d.`{c}`") for c in df.columns))
