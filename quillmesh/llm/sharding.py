@@ -11,8 +11,11 @@ a capacity that surely suffices, taking it as divisible one below which none
 does. While the two differ, the cells in which a cut may fall are split, until
 both meet; the cuts then stand at borders of cells.
 
-Null texts count as empty and are one group with them. Of any two shards none
-exceeds the minimax capacity; an empty table gives no rows.
+Null texts count as empty and are one group with them. No shard exceeds the
+minimax capacity; an empty table gives no rows. Every row is placed by its text
+alone, so repeated rows, rows that share an id and rows with a null doc_id have
+slots of their own; ties in slots are settled by id and then by the text's CRC.
+Texts of any length count whole.
 """
 
 from __future__ import annotations
@@ -106,10 +109,10 @@ def cuts(rows: DataFrame, shards: int) -> list[int]:
     return []
 
 
-def shard_of(hash_column: str, ends: list[int]) -> Column:
+def shard_of(group_hash: Column, ends: list[int]) -> Column:
     shard = F.lit(0)
     for end in ends:
-        shard = shard + (F.col(hash_column) > F.lit(end)).cast("int")
+        shard = shard + (group_hash > F.lit(end)).cast("int")
     return shard
 
 
@@ -118,7 +121,7 @@ def assign(df: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: st
     rows = common.written(sized(df, id_col, text_col), "sharding")
     count = rows.count()
     parts = max(16, -(-count // NUMBERED_ROWS))
-    placed = rows.withColumn("shard", shard_of("group_hash", cuts(rows, shards))).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int"))
+    placed = rows.withColumn("shard", shard_of(F.col("group_hash"), cuts(rows, shards))).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int"))
     # Numbers within (shard, part) and the rows of the parts before: no shard is numbered by one task.
     sizes = placed.groupBy("shard", "part").agg(F.count("*").alias("n"))
     before = sizes.select("shard", "part", (F.sum("n").over(Window.partitionBy("shard").orderBy("part")) - F.col("n")).alias("before"))
@@ -127,18 +130,14 @@ def assign(df: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: st
 
 
 def write_shards(df: DataFrame, path: str, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write every column of df as Parquet under path, one folder shard=N each, several files where a shard is large."""
+    """Write every column of df as Parquet under path, one folder shard=N each, several files where a shard is large.
+
+    If df has a column shard, the new one is shard_2 (and so on), and so are the folders.
+    """
     rows = sized(df, id_col, text_col).select("group_hash", "size")
-    ends = cuts(rows, shards)
+    name = common.free_names(df, "shard")[0]
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    df.withColumn("shard", shard_of("group_hash", ends) if "group_hash" in df.columns else _by_text(text, ends)).write.partitionBy("shard").parquet(path)
-
-
-def _by_text(text: Column, ends: list[int]) -> Column:
-    shard = F.lit(0)
-    for end in ends:
-        shard = shard + (F.xxhash64(text) > F.lit(end)).cast("int")
-    return shard
+    df.withColumn(name, shard_of(F.xxhash64(text), cuts(rows, shards))).write.partitionBy(name).parquet(path)
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

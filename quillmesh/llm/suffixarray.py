@@ -19,7 +19,8 @@ anchor, are the collections. So every string is compared with all its equals in
 one place, the work follows the repeated text, and the rounds are few.
 
 Rows with a null id count as after all others; null texts are empty. Rows that
-share an id don't remove from each other.
+share an id don't remove from each other, nor do rows with a null id. Texts of
+any length are read whole. ``clean`` keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -446,17 +447,18 @@ def whole_characters(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[in
 
 def clean(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df with repeats cut from its texts, whole characters only. Null texts stay null; other columns stay as they are."""
-    names = ("__row", "__id", text_col, "__chunk")
+    row_name, id_name, chunk_name = common.free_names(df, "__row", "__id", "__chunk")
+    names = (row_name, id_name, text_col, chunk_name)
     docs, chunks, buckets = keyed(df, id_col, text_col)
     row = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    full = df.withColumns({"__row": row, "__id": F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)), "__chunk": F.pmod(row, F.lit(chunks)).cast("int")})
+    full = df.withColumns({row_name: row, id_name: F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)), chunk_name: F.pmod(row, F.lit(chunks)).cast("int")})
     spans = spans_of(docs, chunks, buckets, full, names)
     at, width = df.columns.index(text_col), len(df.columns)
 
     def remove(_key, left: pa.Table, right: pa.Table) -> pa.Table:
         own = union_spans(right)
         out = []
-        for key, text in zip(left.column("__row").to_pylist(), left.column(at).to_pylist()):
+        for key, text in zip(left.column(row_name).to_pylist(), left.column(at).to_pylist()):
             found = own.get(key)
             if found and text is not None:
                 body = text.encode()
@@ -465,7 +467,7 @@ def clean(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
         left = left.set_column(at, left.schema.field(at), pa.array(out, left.schema.field(at).type))
         return left.select(list(range(width)))
 
-    return full.groupBy("__chunk").cogroup(spans.groupBy("chunk")).applyInArrow(common.trimmed_pair(remove), df.schema)
+    return full.groupBy(chunk_name).cogroup(spans.groupBy("chunk")).applyInArrow(common.trimmed_pair(remove), df.schema)
 
 
 def op5_suffixarray(spark: SparkSession, sf_dir: str) -> DataFrame:
