@@ -25,8 +25,15 @@ bucket, and gets the words' counts back.
 
 SuffixTree is the same kind of tree in one piece, for contexts that fit a driver.
 
+A pair of chunk and bucket has a row only if the chunk has a word or gram for the
+bucket. So the rows are at most as many as the distinct words and grams of all
+chunks, what a join on them would have; chunks are of bounded size, hence those
+are in proportion to the input.
+
 Null or empty texts have one token, the end. With no training document the base
-has c = N = V = 0 and every symbol is equally likely.
+has c = N = V = 0 and every symbol is equally likely. Every row is scored, and
+learnt from as often as it occurs; rows with a null doc_id are never held out.
+Texts of any length are read whole; a text is in one chunk. Other columns go.
 """
 
 from __future__ import annotations
@@ -283,11 +290,11 @@ def pair_counts(lists: DataFrame) -> np.ndarray:
     return out.reshape(SYMBOLS, SYMBOLS)
 
 
-def bucketed(words, buckets: int) -> list[list[bytes]]:
+def bucketed(words, buckets: int) -> dict[int, list[bytes]]:
     """Distinct words by bucket, in order, so that a chunk finds the same lists again."""
-    out: list[list[bytes]] = [[] for _ in range(buckets)]
+    out: dict[int, list[bytes]] = {}
     for word in sorted(words):
-        out[zlib.crc32(word) % buckets].append(word)
+        out.setdefault(zlib.crc32(word) % buckets, []).append(word)
     return out
 
 
@@ -322,12 +329,14 @@ def lists_of(docs: DataFrame, buckets: int) -> DataFrame:
         keys, times = merged(parts)
         place = dealt(keys, buckets)
         order = np.argsort(place, kind="stable")
-        bounds = np.searchsorted(place[order], np.arange(buckets + 1))
-        own = [order[x:y] for x, y in zip(bounds[:-1], bounds[1:])]
-        lists = bucketed(counts, buckets)
-        n = len(lists)
+        found, first = np.unique(place[order], return_index=True)
+        grams_of = dict(zip(found.tolist(), np.split(order, first[1:])))
+        words_in = bucketed(counts, buckets)
+        # Only buckets that get something: never more rows than the chunk has distinct words and grams.
+        used, none = sorted(words_in.keys() | grams_of.keys()), order[:0]
+        lists, own, n = [words_in.get(b, []) for b in used], [grams_of.get(b, none) for b in used], len(used)
         return pa.table({
-            "bucket": pa.array(range(n), pa.int32()), "chunk": pa.array([group.column("chunk")[0].as_py()] * n, pa.int32()), "words": pa.array([b" ".join(ws) for ws in lists], pa.binary()), "counts": pa.array([np.array([counts[w] for w in ws], "<u4").tobytes() for ws in lists], pa.binary()),
+            "bucket": pa.array(used, pa.int32()), "chunk": pa.array([group.column("chunk")[0].as_py()] * n, pa.int32()), "words": pa.array([b" ".join(ws) for ws in lists], pa.binary()), "counts": pa.array([np.array([counts[w] for w in ws], "<u4").tobytes() for ws in lists], pa.binary()),
             "grams": pa.array([keys[o].astype("<u8").tobytes() for o in own], pa.binary()), "times": pa.array([times[o].astype("<u4").tobytes() for o in own], pa.binary()),
         })
 
@@ -382,10 +391,14 @@ def score(df: DataFrame, folds: int = 10) -> DataFrame:
     def rate(_key, left: pa.Table, right: pa.Table) -> pa.Table:
         doc_ids, held = left.column("doc_id").to_pylist(), left.column("held_out").to_pylist()
         known: dict[bytes, int] = {}
-        words = [words_of(t or "") for t in left.column("text").to_pylist()]
-        lists = bucketed(set().union(*words, [END_WORD]), chunks)
+        texts = left.column("text").to_pylist()
+        met = {END_WORD}
+        for t in texts:
+            met.update(words_of(t or ""))
+        lists = bucketed(met, chunks)
+        del met
         for bucket, blob in zip(right.column("bucket").to_pylist(), right.column("counts").to_pylist()):
-            known.update(zip(lists[bucket], np.frombuffer(blob, "<i8").tolist()))
+            known.update(zip(lists.pop(bucket, ()), np.frombuffer(blob, "<i8").tolist()))
         rows = {w: i for i, w in enumerate(known)}
         counts = np.fromiter(known.values(), np.float64, len(known))
         logs = np.log10((counts + 0.1) / (tokens + 0.1 * (distinct + 1)))
@@ -393,20 +406,21 @@ def score(df: DataFrame, folds: int = 10) -> DataFrame:
         grams_of, gram_logs = pa.array(read("grams", "<u8")), read("logs", "<f4")
         out: list[list] = [[] for _ in range(7)]
         at = 0
-        while at < len(words):
-            end, size = at, 0
-            while end < len(words) and (end == at or size < common.SLICE_BYTES // 2):
-                size += sum(map(len, words[end])) + len(words[end])
-                end += 1
-            keys, own, ends = keys_of(words[at:end])
+        while at < len(texts):
+            # The words of some texts at a time: as lists they take several times the room of the text.
+            words, size = [], 0
+            while at + len(words) < len(texts) and (not words or size < common.SLICE_BYTES // 2):
+                words.append(words_of(texts[at + len(words)] or ""))
+                size += sum(map(len, words[-1])) + len(words[-1])
+            keys, own, ends = keys_of(words)
             by_place = np.zeros(ends[-1])
             by_place[DEPTH:][own] = gram_logs[pc.index_in(pa.array(keys[own]), grams_of).to_numpy()]
             scores = np.add.reduceat(by_place, ends[:-1])
-            for k in range(at, end):
-                own = np.fromiter(map(rows.__getitem__, [*words[k], END_WORD]), np.int64, len(words[k]) + 1)
-                for column, value in zip(out, (doc_ids[k], held[k], len(own), int((counts[own] > 0).sum()), tokens, float(logs[own].sum()), float(scores[k - at]))):
+            for k, ws in enumerate(words):
+                own = np.fromiter(map(rows.__getitem__, [*ws, END_WORD]), np.int64, len(ws) + 1)
+                for column, value in zip(out, (doc_ids[at + k], held[at + k], len(own), int((counts[own] > 0).sum()), tokens, float(logs[own].sum()), float(scores[k]))):
                     column.append(value)
-            at = end
+            at += len(words)
         kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         return pa.table({c.split()[0]: pa.array(v, t) for c, v, t in zip(SCHEMA.split(", "), out, kinds)})
 
