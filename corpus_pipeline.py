@@ -1,9 +1,10 @@
 """The corpus pipeline: stages applied in order, each to all that the one before kept.
 
 Each stage takes (spark, docs, sf_dir) and returns the columns of documents,
-the last one the pieces of packed sequences. Null texts stay null up to packing,
-where they count as empty; documents with a null id stay and are compared as
-the operators say.
+the last one the pieces of packed sequences with their token ids. Other columns
+of docs go. Null texts stay null up to packing, where they count as empty;
+documents with a null id, or one that others have too, stay and are compared as
+the operators say. An empty table gives empty tables.
 """
 
 from __future__ import annotations
@@ -18,8 +19,6 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Near duplicates: shingles of five words, Jaccard 0.8 or more.
 WORDS = 5
 THRESHOLD = (80, 100)
-#: Predictions below this posterior are rejected, as are texts without letters.
-LEAST_SCORE = 0.5
 
 
 def with_length(docs: DataFrame) -> DataFrame:
@@ -27,10 +26,12 @@ def with_length(docs: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the model knows; the others go."""
+    """Documents that have a language; those without a letter (or null) go. Where no row has a label to learn from, all with letters stay."""
     docs = docs.select(*COLUMNS)
-    found = langid.annotate(docs, langid.model_of(docs))
-    return found.where((F.col("lang_pred") != langid.UND) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
+    model = langid.model_of(docs)
+    if not model[0]:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    return langid.annotate(docs, model).where(F.col("lang_pred") != langid.UND).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,8 +50,8 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents packed into sequences."""
-    return packing.pack_documents(docs)
+    """All documents packed into sequences: the pieces, each with its token ids."""
+    return packing.pack_documents(docs, with_ids=True)
 
 
 STAGES = [
@@ -66,9 +67,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    docs, since = common.table(spark, sf_dir, "documents"), common.mark()
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = common.written(docs, f"pipeline-{i}")
+            common.sweep(spark, since, docs)
     return docs
