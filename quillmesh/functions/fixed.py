@@ -90,7 +90,9 @@ RELAY_MARKS = (r"(?i)Hoagie\s*Mail", "Email composed by", "hoagie@princeton.edu"
 RELAY_END = r"(?i)please report it to\s+hoagie@princeton\.edu(?:\s*\[mailto:hoagie@princeton\.edu\])?\s*\."
 RELAY_AUTHOR = r"(?i)Email composed by\s+(.{1,160}?)\s*\(\s*([A-Z0-9.!#$%&'*+/=?^_`{|}~-]+@[A-Z0-9.-]+\.[A-Z]{2,})\s*\)"
 TRANSPORT_SENDER = r"^(hoagie ?mail|hoagie|listserv|princeton community)$"
-CONTENT_END = r"(?i)This email was instantly sent|You are receiving this email because|To unsubscribe from|Sent (?:using|via) HoagieMail|Powered by (?:Hoagie|\w+Apps)|\nOn .{1,160}wrote:|-----Original Message-----"
+CONTENT_END = r"(?i)This email was instantly sent|You are receiving this email because|To unsubscribe from|Sent (?:using|via) HoagieMail|Powered by (?:{products})|\nOn .{{1,160}}wrote:|-----Original Message-----"
+#: Applications whose "Powered by" line ends a message's own words; a deployment names its own besides.
+POWERED_BY = ("Hoagie",)
 HTML_TAG = r"(?i)</?(?:html|body|head|div|p|span|br|hr|a|img|table|tbody|thead|tr|td|th|ul|ol|li|h[1-6]|strong|b|em|i|u|s|del|sup|sub|font|center|figure|figcaption|blockquote|pre|code|script|style|iframe|svg)(?=[\s/>])[^>]*>"
 
 # Aliases that are strong, or weak, whatever their form.
@@ -108,6 +110,12 @@ POI_CATEGORIES = {
 }
 EATING_CLUBS = ("Cap & Gown", "Charter", "Cloister", "Colonial", "Cottage", "Ivy", "Quadrangle", "Terrace", "Tiger", "Tower")
 
+
+def content_end(products: tuple[str, ...] = POWERED_BY) -> str:
+    """CONTENT_END for the given applications."""
+    return CONTENT_END.format(products="|".join(map(re.escape, products)))
+
+
 _WORD = "[A-Za-z0-9_]"
 _START, _END = rf"(?<!{_WORD})(?={_WORD})", rf"(?<={_WORD})(?!{_WORD})"
 

@@ -472,9 +472,9 @@ def canonical_content(body_html: str | None) -> str:
 
 def delivery_key(headers: dict | None, body_html: str | None) -> str | None:
     """Key of a delivery, only from whole headers that name at least two residential lists."""
-    if not headers or not headers["headers_complete"] or len(headers["recipient_lists"]) < 2 or not (body_html or "").strip():
+    if not headers or not headers["headers_complete"] or len(headers["recipient_lists"] or []) < 2 or not (body_html or "").strip():
         return None
-    sender, reply_to, subject, date = headers["identity_fields"]
+    sender, reply_to, subject, date = ([f or "" for f in headers["identity_fields"] or []] + [""] * 4)[:4]  # records from elsewhere can have fewer
     if not sender or not date:
         return None
     parts = [sender, reply_to, subject, list(headers["recipient_lists"]), canonical_content(body_html)]

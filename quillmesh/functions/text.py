@@ -128,9 +128,9 @@ def readable(text: C) -> Column:
     return trim(notices(display_text(text))["body"])
 
 
-def message_content(body: C) -> Column:
-    """The author's own words: up to the first boilerplate or quoted message, 24,000 at most."""
-    return F.substring(F.split(col(body), fixed.CONTENT_END, 2)[0], 1, 24000)
+def message_content(body: C, powered_by: tuple[str, ...] = fixed.POWERED_BY) -> Column:
+    """The author's own words: up to the first boilerplate (that of the named applications too) or quoted message, 24,000 at most."""
+    return F.substring(F.split(col(body), fixed.content_end(powered_by), 2)[0], 1, 24000)
 
 
 def extract_links(html: C) -> Column:

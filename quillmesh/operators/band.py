@@ -28,3 +28,20 @@ def band_join(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, se
         on = on & condition
     out = a.join(b, on, how)
     return out.drop("__band", "__near")
+
+
+def word_band_join(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, seconds: int, left_words: str, right_words: str, least: float, condition: Column | None = None) -> DataFrame:
+    """Pairs within the band whose word sets have a Jaccard similarity of `least` or more (above 0).
+
+    In one order of all words, two such sets share one of the first
+    n - ceil(least n) + 1 of each: those are the join's keys, beside the bucket.
+    """
+
+    def keyed(rows: DataFrame, words: str, name: str) -> DataFrame:
+        n = F.size(words)
+        return rows.withColumn(name, F.explode(F.slice(F.sort_array(words), 1, (n - F.ceil(n * least) + 1).cast("int"))))
+
+    similar = text.jaccard(left_words, right_words) >= least
+    on = similar if condition is None else similar & condition
+    pairs = band_join(keyed(left.where(F.size(left_words) > 0), left_words, "__lw"), keyed(right.where(F.size(right_words) > 0), right_words, "__rw"), left_ts, right_ts, seconds, keys=[("__lw", "__rw")], condition=on)
+    return pairs.drop("__lw", "__rw")

@@ -31,8 +31,10 @@ def alias_matches(texts: DataFrame, aliases: DataFrame) -> DataFrame:
     """id, field, org_id, group_type, alias, strong from texts (id, field, raw). An alias inside a longer one of another organization doesn't count."""
     bare = texts.withColumn("bare", F.regexp_replace("raw", URL, " "))
     rows = dims.with_normal(bare, "bare", "normal").select("id", "field", "normal")
-    tokens = rows.select("id", "field", "normal", F.explode(F.array_distinct(F.split("normal", " "))).alias("anchor")).where("anchor <> ''")
-    found = tokens.join(aliases, "anchor").where(_contains(F.col("normal"), F.col("alias")))
+    # Tokens meet anchors without their text, which then meets the few aliases found.
+    tokens = rows.select("id", "field", F.explode(F.array_distinct(F.split("normal", " "))).alias("anchor")).where("anchor <> ''")
+    near = tokens.join(aliases, "anchor").select("id", "field", "org_id", "group_type", "alias", "strong")
+    found = near.join(rows, ["id", "field"]).where(_contains(F.col("normal"), F.col("alias")))
     each = found.groupBy("id", "field").agg(F.collect_set(F.struct("org_id", "group_type", "alias", "strong")).alias("all"))
     longer = lambda a: F.exists("all", lambda b: (b["org_id"] != a["org_id"]) & (F.length(b["alias"]) > F.length(a["alias"])) & _contains(b["alias"], a["alias"]))
     return each.select("id", "field", F.explode(F.filter("all", lambda a: ~longer(a))).alias("a")).select("id", "field", "a.*")
@@ -56,10 +58,10 @@ def url_matches(messages: DataFrame, organizations: DataFrame) -> DataFrame:
     return sites.select("id", "org_id", F.concat(F.lit("organization URL: "), "parent", "own_path").alias("detail")).unionByName(pages.select("id", "org_id", F.lit("group page link").alias("detail"))).distinct()
 
 
-def signals(messages: DataFrame, organizations: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+def signals(messages: DataFrame, organizations: DataFrame, aliases: DataFrame | None = None, powered_by: tuple[str, ...] = fixed.POWERED_BY) -> DataFrame:
     """id, org_id, signal, score, detail: every piece of evidence. messages: id, subject, body, sender, sender_email."""
     aliases = dims.aliases(organizations) if aliases is None else aliases
-    clean = messages.select("id", *(F.coalesce(c, F.lit("")).alias(c) for c in ("subject", "body", "sender", "sender_email"))).withColumn("content", text.message_content("body"))
+    clean = messages.select("id", *(F.coalesce(c, F.lit("")).alias(c) for c in ("subject", "body", "sender", "sender_email"))).withColumn("content", text.message_content("body", powered_by))
     fields = clean.select("id", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(c).alias("raw")) for f, c in (("sender", "sender"), ("subject", "subject"), ("body", "content"))))).alias("x")).select("id", "x.*")
     senders = dims.with_normal(clean.select("id", "sender"), "sender", "normal").withColumn("transport", F.col("normal").rlike(fixed.TRANSPORT_SENDER))
     matched = alias_matches(fields, aliases).join(senders.where("transport").select("id", F.lit("sender").alias("field")), ["id", "field"], "left_anti")
@@ -92,12 +94,12 @@ def ranked(found: DataFrame) -> DataFrame:
     return top.select("id", F.col("all")[0]["org_id"].alias("org_id"), F.col("all")[0]["score"].alias("score"), F.try_element_at("all", F.lit(2))["score"].alias("second"), F.col("all")[0]["evidence"].alias("evidence"))
 
 
-def classify(messages: DataFrame, organizations: DataFrame, version: str = VERSION) -> DataFrame:
+def classify(messages: DataFrame, organizations: DataFrame, version: str = VERSION, powered_by: tuple[str, ...] = fixed.POWERED_BY) -> DataFrame:
     """id, category, organization, organization_id, confidence, evidence, version, input_hash of each message.
 
-    messages: id, subject, body, sender, sender_email, listserv.
+    messages: id, subject, body, sender, sender_email, listserv. powered_by: see fixed.POWERED_BY.
     """
-    best = ranked(signals(messages, organizations))
+    best = ranked(signals(messages, organizations, powered_by=powered_by))
     orgs = organizations.select(F.col("id").alias("org_id"), "name", "group_type", "categories")
     rows = messages.join(best, "id", "left").join(orgs, "org_id", "left")
     resolved = F.coalesce((F.col("score") >= LEAST) & (F.col("second").isNull() | (F.col("score") - F.col("second") >= MARGIN)), F.lit(False))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from .band import band_join
+from .band import band_join, word_band_join
 
 OFFICIAL_SECONDS, REMINDER_SECONDS = 2700, 1800
 OFFICIAL_LEAST, REMINDER_LEAST = 0.5, 0.4
@@ -26,9 +26,10 @@ def official_duplicates(events: DataFrame, as_of: Column) -> DataFrame:
     """id, duplicate_of: active listserv events that repeat an active official one, the nearest in time (then of the smallest id)."""
     active = events.where("status = 'active'")
     mine, theirs = _side(_recent(active.where("source = 'listserv'"), as_of), "l_"), _side(active.where("source = 'myprincetonu'"), "o_")
-    same = F.col("l_host_org_id") == F.col("o_host_org_id")
-    condition = (F.col("l_host_org_id").isNull() | same) & (F.coalesce(same, F.lit(False)) | (text.jaccard("l_words", "o_words") >= OFFICIAL_LEAST))
-    pairs = band_join(mine, theirs, "l_starts_at", "o_starts_at", OFFICIAL_SECONDS, condition=condition)
+    # Events of one host meet by host and time, those without a host by words and time.
+    hosted = band_join(mine, theirs, "l_starts_at", "o_starts_at", OFFICIAL_SECONDS, keys=[("l_host_org_id", "o_host_org_id")])
+    alike = word_band_join(mine.where("l_host_org_id is null"), theirs, "l_starts_at", "o_starts_at", OFFICIAL_SECONDS, "l_words", "o_words", OFFICIAL_LEAST)
+    pairs = hosted.unionByName(alike)
     distance = F.abs(text.micros("l_starts_at") - text.micros("o_starts_at"))
     return pairs.groupBy(F.col("l_id").alias("id")).agg(F.min_by("o_id", F.struct(distance, "o_id")).alias("duplicate_of"))
 
@@ -38,12 +39,14 @@ def reminders(events: DataFrame, as_of: Column) -> DataFrame:
     active = events.where("status = 'active' and source = 'listserv'")
     older = lambda a, b: F.struct(f"{a}_created_at", f"{a}_id") < F.struct(f"{b}_created_at", f"{b}_id")
     firsts, before = _side(active, "o_"), _side(active, "p_")
-    roots = band_join(firsts, before, "o_starts_at", "p_starts_at", REMINDER_SECONDS, condition=older("p", "o") & (text.jaccard("p_words", "o_words") >= REMINDER_LEAST), how="left_anti")
+    preceded = word_band_join(firsts, before, "o_starts_at", "p_starts_at", REMINDER_SECONDS, "o_words", "p_words", REMINDER_LEAST, older("p", "o")).select("o_id").distinct()
+    roots = firsts.join(preceded, "o_id", "left_anti")
     later = _side(_recent(active, as_of), "l_")
     host, other = F.col("l_host_org_id"), F.col("o_host_org_id")
-    same = F.coalesce(host == other, F.lit(False)) & F.col("l_location_id").eqNullSafe(F.col("o_location_id"))
-    condition = older("o", "l") & (host.isNull() | other.isNull() | (host == other)) & ((text.jaccard("l_words", "o_words") >= REMINDER_LEAST) | same)
-    pairs = band_join(later, roots, "l_starts_at", "o_starts_at", REMINDER_SECONDS, condition=condition)
+    close = (text.jaccard("l_words", "o_words") >= REMINDER_LEAST) | F.col("l_location_id").eqNullSafe(F.col("o_location_id"))
+    hosted = band_join(later, roots, "l_starts_at", "o_starts_at", REMINDER_SECONDS, keys=[("l_host_org_id", "o_host_org_id")], condition=older("o", "l") & close)
+    alike = word_band_join(later, roots, "l_starts_at", "o_starts_at", REMINDER_SECONDS, "l_words", "o_words", REMINDER_LEAST, older("o", "l") & (host.isNull() | other.isNull()))
+    pairs = hosted.unionByName(alike.select(*hosted.columns))
     return pairs.groupBy(F.col("l_id").alias("id")).agg(F.min_by("o_id", F.struct("o_created_at", "o_id")).alias("duplicate_of"))
 
 

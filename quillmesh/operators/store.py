@@ -1,6 +1,6 @@
 """Snapshots that change by merging: upserts, change detection, withdrawal, and revisions.
 
-A table is a versioned Parquet folder; merging makes the next version. One
+Merging makes a table's next version, a Parquet folder of its own. One
 writer gives revisions, counting on from the largest: changed rows only are
 numbered, in order of their keys.
 """
@@ -96,8 +96,8 @@ def sync_official(events: DataFrame, feed: DataFrame, as_of: Column, least: int
     return gone.withColumn("change", F.when(lost, F.lit("update")).otherwise(F.col("change"))).withColumn("status", F.when(lost, F.lit("withdrawn")).otherwise(F.col("status"))).select(*events.columns, "change")
 
 
-def save_extraction(events: DataFrame, extracted: DataFrame) -> DataFrame:
-    """Events after extraction. extracted: id (of the message), version, events.
+def save_extraction(events: DataFrame, extracted: DataFrame, as_of: Column) -> DataFrame:
+    """Events after extraction at a time. extracted: id (of the message), version, events.
 
     Upserts by (message_id, idx); a duplicate stays one, anything else becomes
     active; active ones beyond what was found now are withdrawn.
@@ -108,7 +108,7 @@ def save_extraction(events: DataFrame, extracted: DataFrame) -> DataFrame:
     had = events.where("source = 'listserv'").select("message_id", "idx", F.col("status").alias("had"))
     new = new.join(had, ["message_id", "idx"], "left").withColumn("status", F.when(F.col("had") == "duplicate", "duplicate").otherwise("active")).drop("had")
     # Every extraction touches its rows, so all of them count as changed.
-    merged = merge_snapshot(events, new.withColumn("updated_at", F.current_timestamp()), ["message_id", "idx"], ["updated_at"], keep=["id", "source", "created_at"])
+    merged = merge_snapshot(events, new.withColumn("updated_at", as_of.cast("timestamp")), ["message_id", "idx"], ["updated_at"], keep=["id", "source", "created_at"])
     found = extracted.select(F.col("id").alias("x_id"), F.size("events").alias("found"))
     rows = merged.join(found, (F.col("message_id") == F.col("x_id")) & (F.col("source") == "listserv"), "left")
     lost = (F.col("status") == "active") & (F.col("idx") >= F.col("found"))
@@ -141,44 +141,74 @@ def source_health(current: DataFrame, polls: DataFrame) -> DataFrame:
 
 
 class Store:
-    """Versioned Parquet tables in a folder; a pointer file names the present version of each."""
+    """Versioned Parquet tables in a folder.
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-        self.fs_path = spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        self.fs = self.fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    A numbered manifest names the folder of each table; the one of the largest number holds.
+    Manifests are written whole under another name and renamed, and none is
+    ever deleted or replaced: a writer that dies leaves the tables as they were,
+    and several tables change together. One writer at a time; a second one that
+    takes the same number is refused.
+    """
 
-    def _pointer(self, table: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}/CURRENT.json")
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path, self.run = spark, path.rstrip("/"), uuid.uuid4().hex
+        self.fs = self._place(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _place(self, path: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(path)
+
+    def manifest(self) -> tuple[int, dict[str, str]]:
+        """Its number (0: none yet) and the folder of each table."""
+        folder = self._place(f"{self.path}/_manifest")
+        if not self.fs.exists(folder):
+            return 0, {}
+        names = [f.getPath().getName() for f in self.fs.listStatus(folder)]
+        number = max((int(n.removesuffix(".json")) for n in names if n.endswith(".json") and not n.startswith((".", "_"))), default=0)
+        if not number:
+            return 0, {}
+        file = self.fs.open(self._place(f"{self.path}/_manifest/{number:012d}.json"))
+        try:
+            return number, json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(file, "UTF-8"))
+        finally:
+            file.close()
 
     def version(self, table: str) -> int:
-        if not self.fs.exists(self._pointer(table)):
-            return 0
-        return json.loads(self.spark.sparkContext.wholeTextFiles(self._pointer(table).toString()).first()[1])["version"]
+        """How often the table was written."""
+        return int(self.manifest()[1].get(table, "v0")[1:].split("-")[0])
 
     def read(self, table: str, schema: str | None = None) -> DataFrame:
-        version = self.version(table)
-        if not version:
+        folder = self.manifest()[1].get(table)
+        if folder is None:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.parquet(f"{self.path}/{table}/v{version}")
+        return self.spark.read.parquet(f"{self.path}/{table}/{folder}")
 
     def stage(self, rows: DataFrame) -> DataFrame:
-        """Rows written to the store's staging folder and read again: plans stay small, and lost executors lose nothing."""
-        path = f"{self.path}/_staging/{uuid.uuid4().hex}"
+        """Rows written to this writer's staging folder and read again: plans stay small, and lost executors lose nothing."""
+        path = f"{self.path}/_staging/{self.run}/{uuid.uuid4().hex}"
         rows.write.parquet(path)
         return self.spark.read.schema(rows.schema).parquet(path)
 
     def clear_stage(self) -> None:
-        self.fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_staging"), True)
-
-    def write(self, table: str, rows: DataFrame) -> int:
-        """Write the next version, then move the pointer: readers see the old one or the new one."""
-        version = self.version(table) + 1
-        rows.write.mode("overwrite").parquet(f"{self.path}/{table}/v{version}")
-        part = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}/CURRENT.json.tmp")
+        self.fs.delete(self._place(f"{self.path}/_staging/{self.run}"), True)
+
+    def commit(self, tables: dict[str, DataFrame]) -> int:
+        """Write the next version of some tables, then name them all at once: readers see the old ones or the new ones."""
+        number, folders = self.manifest()
+        folders = dict(folders)
+        for table, rows in tables.items():
+            folders[table] = f"v{int(folders.get(table, 'v0')[1:].split('-')[0]) + 1}-{self.run}"
+            rows.write.mode("overwrite").parquet(f"{self.path}/{table}/{folders[table]}")
+        return self._publish(number + 1, folders)
+
+    def _publish(self, number: int, folders: dict[str, str]) -> int:
+        part, whole = self._place(f"{self.path}/_manifest/_{number:012d}-{self.run}.tmp"), self._place(f"{self.path}/_manifest/{number:012d}.json")
         out = self.fs.create(part, True)
-        out.write(bytearray(json.dumps({"version": version}).encode()))
+        out.write(bytearray(json.dumps(folders).encode()))
         out.close()
-        self.fs.delete(self._pointer(table), False)
-        self.fs.rename(part, self._pointer(table))
-        return version
+        if self.fs.exists(whole) or not self.fs.rename(part, whole):
+            raise RuntimeError(f"another writer has committed {whole}")
+        return number
+
+    def write(self, table: str, rows: DataFrame) -> int:
+        self.commit({table: rows})
+        return self.version(table)

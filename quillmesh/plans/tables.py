@@ -14,13 +14,17 @@ from ..functions import text
 
 #: Tables of texts, on which Python and regular expressions work long.
 TEXTS = ("documents", "pages", "conversations")
+DEALT_BYTES = 256 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table. One of texts that lies in fewer pieces than there are cores is dealt to all of them; a large one never is."""
+    """A table. One of texts, of DEALT_BYTES at most, that lies in fewer pieces than there are cores is dealt to all of them."""
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    return rows.repartition(cores) if name in TEXTS and rows.rdd.getNumPartitions() < cores else rows
+    if name not in TEXTS or rows.rdd.getNumPartitions() >= cores:
+        return rows
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(cores) if size <= DEALT_BYTES else rows
 
 
 def list_of(status: Column) -> Column:

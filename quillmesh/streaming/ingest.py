@@ -1,7 +1,8 @@
 """Ingest as a batch plan, and as a stream that replays the same plan on every micro-batch.
 
 Ids are made from list and archive id and tables are merged by id, so a batch
-that is run again changes nothing: that is what makes the stream exact.
+that is run again changes nothing; a batch's tables change together or not at
+all. That is what makes the stream exact.
 """
 
 from __future__ import annotations
@@ -75,7 +76,7 @@ def ingest_batch(tables: store.Store, raw: DataFrame, organizations: DataFrame,
     reached = reconcile.bridge(whole.join(named, "id").select("id", "canonical_id", "listserv", "recipient_lists"))
     next_bridge = bridge.unionByName(reached).distinct()
 
-    saved = tables.stage(store.save_extraction(events, found))
+    saved = tables.stage(store.save_extraction(events, found, now))
     gone = store.withdraw_merged(saved.drop("change"), whole).select("id", F.col("change").alias("gone"), F.col("status").alias("after"))
     saved = saved.join(gone, "id").withColumn("status", F.col("after")).withColumn("change", F.coalesce("change", "gone")).drop("gone", "after")
     saved = tables.stage(saved.withColumn("created_at", F.coalesce("created_at", now)))
@@ -89,11 +90,11 @@ def ingest_batch(tables: store.Store, raw: DataFrame, organizations: DataFrame,
     n_messages = messages_out.where("change is not null").count()
     events_out = tables.stage(store.with_revisions(last.select(*events.columns, "change"), top + n_messages, ["id"]).withColumn("updated_at", F.when(F.col("change").isNotNull(), now).otherwise(F.col("updated_at"))))
     n_events = events_out.where("change is not null").count()
-    if n_messages:
-        tables.write("messages", messages_out.select(*current.columns))
-        tables.write("message_lists", next_bridge)
+    changed = {"messages": messages_out.select(*current.columns), "message_lists": next_bridge} if n_messages else {}
     if n_events:
-        tables.write("events", events_out.select(*events.columns))
+        changed["events"] = events_out.select(*events.columns)
+    if changed:
+        tables.commit(changed)
     tables.clear_stage()
     return {"messages": n_messages, "events": n_events}
 

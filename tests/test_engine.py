@@ -260,7 +260,7 @@ def test_save_extraction(spark):
     e = {"title": "t", "summary": "", "starts_at": SENT, "ends_at": None, "time_precision": "exact", "location_text": None, "location_id": None, "location_name": None, "latitude": None, "longitude": None, "room": None, "online": False, "tags": [], "free_food": False, "rsvp_url": None, "host_org_id": None, "host_org_name": None, "confidence": 0.7, "publishable": False}
     old = event_rows(spark, {"id": "a0", "message_id": "m", "idx": 0, "status": "duplicate"}, {"id": "a1", "message_id": "m", "idx": 1}, {"id": "b0", "message_id": "n", "idx": 0, "status": "withdrawn"})
     found = spark.createDataFrame([("m", "rules-1", [tuple(e.values())]), ("n", "rules-1", [tuple(e.values())])], f"id string, version string, events {schemas.EXTRACTED}")
-    got = {(r.message_id, r.idx): r.status for r in store.save_extraction(old, found).collect()}
+    got = {(r.message_id, r.idx): r.status for r in store.save_extraction(old, found, F.lit(SENT)).collect()}
     assert got == {("m", 0): "duplicate", ("m", 1): "withdrawn", ("n", 0): "active"}
 
 
