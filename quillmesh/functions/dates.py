@@ -164,7 +164,10 @@ def pick(subject: str, body: str, sent_at: datetime) -> tuple[datetime, datetime
                 continue
             end = None
             if m.end:
-                end = _instant(day, m.end[0] + (0 if m.end[2] else 12 if shift and m.end[0] <= 11 else 0), m.end[1])
+                clock = m.end[0] + (0 if m.end[2] else 12 if shift and m.end[0] <= 11 else 0), m.end[1]
+                end = _instant(day, *clock)
+                if end < start:  # "9pm - 1am" ends on the next day
+                    end = _instant(day + timedelta(days=1), *clock)
                 end = end if end > start else None
             found.append((start, end, bool(m.start), in_subject))
     if not found:

@@ -2,50 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import dates, fixed, fts, html, text
-from ..operators import classify, dedupe, dims, events as event_ops, reconcile, store
+from ..functions import fixed, text
+from ..operators import dedupe, dims, events as event_ops, reconcile, store
 from ..operators.band import band_join
 from ..sources import feeds
 from . import read, tables
+from .registered import QUERIES, SQL, Query, instant, plain, query, rule_sql
 from .tables import EVENTS_SQL, MESSAGES_SQL, PHRASED_SQL, table
 
 AS_OF = "2024-01-15 00:00:00"
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query under its function's name, with its SQL."""
-
-    def keep(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return keep
 
 
-def engine(spark: SparkSession, sf_dir: str) -> read.Engine:
+def engine(spark, sf_dir: str) -> read.Engine:
     messages = tables.messages(spark, sf_dir)
     return read.Engine(messages, tables.bridge(messages), tables.events(spark, sf_dir), tables.organizations(spark, sf_dir), origin="https://mail.example.edu", zone="UTC")
 
 
-def instant(moment: str):
-    return F.lit(moment).cast("timestamp_ntz").cast("timestamp")
-
-
-def plain(column: str):
-    return F.col(column).cast("timestamp_ntz")
-
-
 # Identity.
 
 
@@ -243,18 +219,6 @@ def q_crosspost_match(spark, sf_dir):
     return reconcile.first_matches(rows)
 
 
-@query()
-def q_reconcile(spark, sf_dir):
-    """Arrival-order replay; SQL can't express it, tests hold it against a sequential one."""
-    e = table(spark, sf_dir, "events")
-    lists = F.element_at(text.any_of(fixed.RESIDENTIAL_LISTS), (F.hash("event_type") % 7 + F.when(F.hash("event_type") % 7 <= 0, 7).otherwise(0)).cast("int"))
-    rows = e.select(
-        F.col("event_id").cast("string").alias("id"), lists.alias("listserv"), F.when(F.col("value") > 100, F.col("user_id").cast("string")).alias("rfc_message_id"), F.concat_ws("/", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd HH")).alias("delivery_key"),
-        F.date_trunc("HOUR", "ts").cast("timestamp").alias("sent_at"), F.col("ts").cast("timestamp").alias("ingested_at"), F.lit(None).cast("string").alias("canonical_id"),
-    )
-    return reconcile.reconcile(rows)
-
-
 @query("SELECT p_partkey, CASE WHEN count(*) OVER w > 1 THEN substr(sha256(p_brand || '|' || trim(regexp_replace(lower(p_name), '[^a-z]+', ' ', 'g'))), 1, 16) END AS series_id, CASE WHEN count(*) OVER w > 1 THEN CAST(count(*) OVER w AS INT) ELSE 0 END AS series_size FROM part WINDOW w AS (PARTITION BY p_brand, p_name)")
 def q_series(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("host_org_id"), F.col("p_name").alias("title"))
@@ -312,26 +276,27 @@ def q_pending_bodies(spark, sf_dir):
 # Text.
 
 
-@query("""WITH w AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: length(x) > 2)) AS words, n_chars FROM documents WHERE n_chars < 600)
- SELECT a.doc_id AS a, b.doc_id AS b, round(len(list_intersect(a.words, b.words)) / len(list_distinct(list_concat(a.words, b.words))), 6) AS j FROM w a JOIN w b ON a.doc_id < b.doc_id AND len(list_intersect(a.words, b.words)) > 0 AND len(list_intersect(a.words, b.words)) / len(list_distinct(list_concat(a.words, b.words))) >= 0.4""")
+@query("""WITH w AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: length(x) > 2)) AS words FROM documents), e AS (SELECT doc_id, len(words) AS n, unnest(words) AS word FROM w),
+ p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both_, any_value(a.n) + any_value(b.n) - count(*) AS whole FROM e a JOIN e b ON a.word = b.word AND a.doc_id < b.doc_id GROUP BY 1, 2)
+ SELECT a, b, round(both_ / whole, 6) AS j FROM p WHERE both_ / whole >= 0.6""")
 def q_jaccard_pairs(spark, sf_dir):
-    """Pairs of short documents at word Jaccard 0.4 or more. Two such sets share a word of their rarest part, which is the join's key; very common words aren't keys."""
-    docs = table(spark, sf_dir, "documents").where("n_chars < 600").select("doc_id", text.similarity_words("text").alias("words"))
-    words = docs.select("doc_id", "words", F.explode("words").alias("word"))
-    frequency = words.groupBy("word").agg(F.count("*").alias("times"))
-    ordered = words.join(frequency, "word").groupBy("doc_id").agg(F.first("words").alias("words"), F.sort_array(F.collect_list(F.struct("times", "word"))).alias("order"))
-    size = F.size("words")
-    keys = ordered.select("doc_id", "words", F.explode(F.slice("order", 1, (size - F.ceil(size * 0.4) + 1).cast("int"))).alias("k")).select("doc_id", "words", F.col("k.word").alias("word"))
-    b = keys.select(F.col("doc_id").alias("b"), F.col("words").alias("b_words"), "word")
-    pairs = keys.withColumnRenamed("doc_id", "a").join(b, "word").where("a < b").dropDuplicates(["a", "b"]).withColumn("j", text.jaccard("words", "b_words"))
-    return pairs.where("j >= 0.4").select("a", "b", F.round("j", 6).alias("j"))
-
+    """Pairs of documents at word Jaccard 0.6 or more. In order of frequency two such sets share one of their first words, the join's key; sets meet once for each pair found so."""
+    least = 0.6
+    docs = table(spark, sf_dir, "documents").select("doc_id", text.similarity_words("text").alias("words"))
+    words = docs.select("doc_id", F.size("words").alias("n"), F.explode("words").alias("word"))
+    frequency = words.groupBy("word").agg(F.count("*").alias("times")).where("times > 1")
+    # Words that no other document has count for the size only: they come first in the order.
+    shared = words.join(frequency, "word").groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("times", "word"))).alias("order"))
+    first = (F.col("n") - F.ceil(F.col("n") * least) + 1 - (F.col("n") - F.size("order"))).cast("int")
+    keys = shared.where(first > 0).select("doc_id", "n", F.explode(F.slice("order", 1, first)).alias("k")).select("doc_id", "n", F.col("k.word").alias("word"))
+    b = keys.select(F.col("doc_id").alias("b"), F.col("n").alias("m"), "word")
+    near = keys.withColumnRenamed("doc_id", "a").join(b, "word").where((F.col("a") < F.col("b")) & (F.least("n", "m") >= F.greatest("n", "m") * least)).select("a", "b").distinct()
+    sets = lambda name: docs.select(F.col("doc_id").alias(name), F.col("words").alias(name + "_words"))
+    pairs = near.join(sets("a"), "a").join(sets("b"), "b").withColumn("j", text.jaccard("a_words", "b_words"))
+    return pairs.where(F.col("j") >= least).select("a", "b", F.round("j", 6).alias("j"))
 
-def _rule_sql(column: str, pattern: str) -> str:
-    return "regexp_matches({}, '(?i){}')".format(column, pattern.replace("'", "''"))
 
-
-CATEGORY_SQL = "CASE " + " ".join(f"WHEN {_rule_sql(column, p)} THEN '{name}'" for column in ("phrase", "phrase || chr(10) || substr(text, 1, 12000)") for name, p in fixed.CATEGORY_RULES) + f" ELSE '{fixed.DEFAULT_CATEGORY}' END"
+CATEGORY_SQL = "CASE " + " ".join(f"WHEN {rule_sql(column, p)} THEN '{name}'" for column in ("phrase", "phrase || chr(10) || substr(text, 1, 12000)") for name, p in fixed.CATEGORY_RULES) + f" ELSE '{fixed.DEFAULT_CATEGORY}' END"
 
 
 @query(f"WITH {PHRASED_SQL} SELECT doc_id, {CATEGORY_SQL} AS category FROM phrased")
@@ -339,22 +304,28 @@ def q_category(spark, sf_dir):
     return tables.phrased(spark, sf_dir).select("doc_id", text.category("phrase", "text").alias("category"))
 
 
-TAGS_SQL = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {_rule_sql('phrase', p)} THEN '{tag}' END" for tag, p in fixed.TAG_RULES.items()) + "], lambda x: x IS NOT NULL)[1:4], ',')"
+WHOLE_SQL = "phrase || chr(10) || text"
+TAGS_SQL = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {rule_sql(WHOLE_SQL, p)} THEN '{tag}' END" for tag, p in fixed.TAG_RULES.items()) + "], lambda x: x IS NOT NULL)[1:4], ',')"
 
 
 @query(f"WITH {PHRASED_SQL} SELECT doc_id, {TAGS_SQL} AS tags FROM phrased")
 def q_tags(spark, sf_dir):
-    return tables.phrased(spark, sf_dir).select("doc_id", F.array_join(text.tags_from_text("phrase"), ",").alias("tags"))
+    return tables.phrased(spark, sf_dir).select("doc_id", F.array_join(text.tags_from_text("phrased"), ",").alias("tags"))
 
 
-@query(f"""WITH {PHRASED_SQL}, f AS (SELECT doc_id, length(text) % 2 = 0 AS exact, length(text) % 3 <> 0 AS dated, {_rule_sql('phrase', fixed.EVENT_WORDS)} AS eventful, {_rule_sql('phrase', fixed.TAG_RULES['free food'])} AS food, {_rule_sql('phrase', fixed.NOT_EVENT)} AS denied, length(text) % 5 < 2 AS placed FROM phrased),
- s AS (SELECT *, CAST(exact AS INT) * 2 + CAST(dated AS INT) + CASE WHEN placed THEN 2 ELSE 1 END + CAST(eventful AS INT) + CAST(food AS INT) - CASE WHEN denied THEN 3 ELSE 0 END AS points FROM f)
- SELECT doc_id, points, dated AND points >= 4 AS is_event, CAST(round(least(1.0, 0.35 + points * 0.1 + CASE WHEN exact THEN 0.1 ELSE 0 END - CASE WHEN denied THEN 0.15 ELSE 0 END), 2) AS DOUBLE) AS confidence FROM s""")
+@query(f"""WITH {PHRASED_SQL}, f AS (SELECT doc_id, length(text) % 2 = 0 AS exact, length(text) % 3 <> 0 AS dated, {rule_sql(WHOLE_SQL, fixed.EVENT_WORDS)} AS eventful, {rule_sql(WHOLE_SQL, fixed.TAG_RULES['free food'])} AS food, {rule_sql('phrase', fixed.NOT_EVENT)} AS denied, {rule_sql('substr(text, 1, 1500)', fixed.NOT_EVENT)} AS denied_body,
+ {rule_sql(WHOLE_SQL, fixed.NOT_EVENT)} AS doubted, length(text) % 5 < 2 AS placed FROM phrased),
+ s AS (SELECT *, CAST(exact AS INT) * 2 + CAST(dated AS INT) + CASE WHEN placed THEN 2 ELSE 1 END + CAST(eventful AS INT) + CAST(food AS INT) - CASE WHEN denied THEN 3 WHEN denied_body THEN 1 ELSE 0 END AS points FROM f)
+ SELECT doc_id, points, dated AND points >= 4 AS is_event, CAST(round(least(1.0, 0.35 + points * 0.1 + CASE WHEN exact THEN 0.1 ELSE 0 END - CASE WHEN doubted THEN 0.15 ELSE 0 END), 2) AS DOUBLE) AS confidence FROM s""")
 def q_event_score(spark, sf_dir):
-    n = F.length("text")
-    rows = tables.phrased(spark, sf_dir).select("doc_id", (n % 2 == 0).alias("exact"), (n % 3 != 0).alias("dated"), (n % 5 < 2).alias("placed"), *(event_ops.rlike(F.col("phrase"), p).alias(a) for a, p in (("eventful", fixed.EVENT_WORDS), ("food", fixed.TAG_RULES["free food"]), ("denied", fixed.NOT_EVENT))))
-    points = event_ops.score(F.col("exact"), F.col("dated"), F.col("placed"), F.lit(True), F.col("eventful"), F.col("food"), F.col("denied"), F.lit(False))
-    return rows.withColumn("points", points).select("doc_id", "points", (F.col("dated") & (F.col("points") >= 4)).alias("is_event"), event_ops.confidence(F.col("points"), F.col("exact"), F.col("denied")).alias("confidence"))
+    """The points of phrase and whole text; date and place are made from the text's length."""
+    n, rule = F.length("text"), event_ops.rlike
+    rows = tables.phrased(spark, sf_dir).select(
+        "doc_id", (n % 2 == 0).alias("exact"), (n % 3 != 0).alias("dated"), (n % 5 < 2).alias("placed"), rule(F.col("phrased"), fixed.EVENT_WORDS).alias("eventful"), rule(F.col("phrased"), fixed.TAG_RULES["free food"]).alias("food"),
+        rule(F.col("phrase"), fixed.NOT_EVENT).alias("denied"), rule(F.substring("text", 1, 1500), fixed.NOT_EVENT).alias("denied_body"), rule(F.col("phrased"), fixed.NOT_EVENT).alias("doubted"),
+    )
+    points = event_ops.score(F.col("exact"), F.col("dated"), F.col("placed"), F.lit(True), F.col("eventful"), F.col("food"), F.col("denied"), F.col("denied_body"))
+    return rows.withColumn("points", points).select("doc_id", "points", (F.col("dated") & (F.col("points") >= 4)).alias("is_event"), event_ops.confidence(F.col("points"), F.col("exact"), F.col("doubted")).alias("confidence"))
 
 
 @query("SELECT doc_id, trim(regexp_replace(replace(lower(text), '&', ' and '), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS normal FROM documents")
@@ -375,83 +346,14 @@ def q_alias_freq(spark, sf_dir):
     return dims.token_frequency(orgs)
 
 
-@query("SELECT page_id, CAST(0 AS INT) AS outbound, len(regexp_extract_all(html, 'href')) > 0 AS has_links FROM pages")
-def q_links(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.size(text.extract_links("html")).alias("outbound"), F.col("html").contains("href").alias("has_links"))
-
-
-@query("SELECT doc_id, 'Posted to src' || CASE WHEN source = 'src1' THEN ' one' ELSE ' any' END AS subject FROM documents")
-def q_subject(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.upper("source").alias("list"), F.when(F.col("source") == "src1", "one").otherwise("any").alias("which"))
-    return docs.select("doc_id", text.subject_of(F.concat(F.lit("["), F.lower("list"), F.lit("]  Posted to src "), "which"), "list").alias("subject"))
-
-
-@query("SELECT c_custkey, c_name AS name, lower(c_mktsegment) || c_custkey || '@example.edu' AS email, c_mktsegment AS bare_name FROM customer")
-def q_parse_address(spark, sf_dir):
-    c = table(spark, sf_dir, "customer")
-    address = text.parse_address(F.concat(F.lit('"'), "c_name", F.lit('" <'), F.lower("c_mktsegment"), F.col("c_custkey").cast("string"), F.lit("@example.edu>")))
-    return c.select("c_custkey", address["name"].alias("name"), address["email"].alias("email"), text.parse_address("c_mktsegment")["name"].alias("bare_name"))
-
-
-@query("SELECT source, count(*) AS n FROM (SELECT DISTINCT source, lang FROM documents) GROUP BY 1")
+@query(f"""WITH {PHRASED_SQL}, w AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(lower(phrase), '[^a-z0-9]+'), lambda x: length(x) > 2)) AS p, list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: length(x) > 2)) AS t FROM phrased)
+ SELECT doc_id, CAST(len(list_intersect(p, t)) AS BIGINT) AS both_have, CASE WHEN len(list_distinct(list_concat(p, t))) > 0 THEN len(list_intersect(p, t)) / len(list_distinct(list_concat(p, t))) ELSE 0 END AS likeness FROM w""")
 def q_set_words(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").groupBy("source").agg(F.size(F.array_union(F.collect_set("lang"), F.array().cast("array<string>"))).cast("long").alias("n"))
-    return rows.select("source", "n")
-
-
-@query()
-def q_html_text(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", html.html_to_text_column(F.col("html")).alias("text"))
-
-
-@query()
-def q_preview(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", html.preview_column(F.lit(""), F.col("html")).alias("preview"), html.display_html_column(F.col("html")).alias("shown"), html.canonical_content_column(F.col("html")).alias("content"))
-
-
-@query()
-def q_media(spark, sf_dir):
-    none = F.lit(None).cast("array<struct<url: string, type: string>>")
-    return table(spark, sf_dir, "pages").select("page_id", F.to_json(html.media_column(F.col("html"), none)).alias("media"), F.to_json(html.archive_headers_column(F.col("html"))).alias("headers"))
+    rows = tables.phrased(spark, sf_dir).select("doc_id", text.similarity_words("phrase").alias("p"), text.similarity_words("text").alias("t"))
+    return rows.select("doc_id", F.size(F.array_intersect("p", "t")).cast("long").alias("both_have"), text.jaccard("p", "t").alias("likeness"))
 
 
-@query()
-def q_summary(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.summarize("text").alias("summary"), text.clean_title("text").alias("title"))
-
-
-@query()
-def q_pick_date(spark, sf_dir):
-    rows = tables.phrased(spark, sf_dir).withColumn("sent", instant("2024-01-15 14:00:00"))
-    return rows.select("doc_id", dates.pick_column(F.col("phrase"), F.col("text"), F.col("sent")).alias("w")).select("doc_id", plain("w.starts_at").alias("starts_at"), F.col("w.exact").alias("exact"))
-
-
-@query()
-def q_fts(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    rows = docs.select("doc_id", fts.vector_column(F.col("source"), F.col("lang"), F.col("text")).alias("search"))
-    asked = 'src1 or "with the" -threea'
-    return rows.where(fts.matches(F.col("search"), asked)).select("doc_id", F.round(fts.rank(F.col("search"), asked), 6).alias("rank"))
-
-
-@query()
-def q_classifier(spark, sf_dir):
-    """Orders as mail from nations' clubs: sender, subject and body name them in turn."""
-    orgs = tables.organizations(spark, sf_dir)
-    rows = tables.messages(spark, sf_dir).select("id", F.concat_ws(" ", "subject", "organization_name").alias("subject"), F.col("body_text").alias("body"), F.concat(F.lit("Club of "), "organization_name").alias("sender"), "sender_email", "listserv")
-    return classify.classify(rows, orgs).select("id", "category", "organization_id", "confidence")
-
-
-@query()
-def q_extract_events(spark, sf_dir):
-    places = spark.createDataFrame([("garden-hall", "Garden Hall", ["Garden"], "social", 40.3, -74.6, "test"), ("online", "Online", ["Zoom"], "other", 0.0, 0.0, "test")], "id string, name string, aliases array<string>, category string, latitude double, longitude double, source string")
-    rows = tables.phrased(spark, sf_dir).select(
-        F.col("doc_id").cast("string").alias("id"), F.col("phrase").alias("subject"), F.concat(F.lit("When: Wednesday 4:30-6pm\nWhere: Garden Hall 12\n\n"), "text").alias("body"), instant("2024-01-15 14:00:00").alias("sent_at"),
-        F.array().cast("array<string>").alias("links"), F.lit("WHITMANWIRE").alias("listserv"), F.lit(None).cast("string").alias("organization_id"), F.lit(None).cast("string").alias("organization_name"),
-    )
-    found = event_ops.extract(rows, places)
-    e = F.get("events", F.lit(0))
-    return found.select("id", "is_event", e["title"].alias("title"), e["starts_at"].cast("timestamp_ntz").alias("starts_at"), e["location_id"].alias("location_id"), e["room"].alias("room"), F.array_join(e["tags"], ",").alias("tags"), e["confidence"].alias("confidence"), e["publishable"].alias("publishable"))
+from . import constructed  # noqa: E402, F401  (it registers its queries)
 
 
 def queries() -> dict[str, Query]:

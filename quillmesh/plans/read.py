@@ -85,7 +85,9 @@ def organization_payload(organizations: DataFrame, logos: DataFrame | None = Non
 class Engine:
     """Queries over one snapshot of the tables (schemas.MESSAGES, MESSAGE_LISTS, EVENTS, SOURCES, ORGANIZATIONS)."""
 
-    def __init__(self, messages: DataFrame, bridge: DataFrame, events: DataFrame, organizations: DataFrame, sources: DataFrame | None = None, locations: DataFrame | None = None, logos: DataFrame | None = None, origin: str = "", zone: str = fixed.TIME_ZONE):
+    def __init__(self, messages: DataFrame, bridge: DataFrame, events: DataFrame, organizations: DataFrame, sources: DataFrame | None = None, locations: DataFrame | None = None, logos: DataFrame | None = None, origin: str = "", zone: str = fixed.TIME_ZONE, postings: DataFrame | None = None):
+        """postings: of the messages (fts.postings); with them search reads no text."""
+        self.postings = postings
         self.messages, self.bridge, self.events, self.organizations = messages, bridge, events, organizations
         self.sources, self.locations, self.logos, self.origin, self.zone = sources, locations, logos, origin.rstrip("/"), zone
 
@@ -121,9 +123,10 @@ class Engine:
         query = (f.query or "").strip()
         if not query:
             return rows.withColumn("rank", F.lit(0.0))
-        if "search" not in rows.columns:
-            rows = rows.withColumn("search", fts.vector_column(F.col("subject"), F.concat_ws(" ", "sender_name", "organization_name"), F.col("body_text")))
-        return rows.where(fts.matches(F.col("search"), query)).withColumn("rank", fts.rank(F.col("search"), query)).drop("search")
+        if self.postings is not None:
+            return rows.join(fts.search(self.postings, query, self.messages), "id")
+        found = fts.evaluate_column(F.col("subject"), F.concat_ws(" ", "sender_name", "organization_name"), F.col("body_text"), query)
+        return rows.withColumn("found", found).where("found.matches").withColumn("rank", F.col("found.rank")).drop("found")
 
     def search_messages(self, f: MessageFilters = MessageFilters()) -> DataFrame:
         order = [F.asc("sent_at")] if f.sort == "oldest" else [F.desc("rank"), F.desc("sent_at")] if (f.query or "").strip() and f.sort != "newest" else [F.desc("sent_at")]
@@ -131,10 +134,11 @@ class Engine:
         rows = page.join(lists_of(self.bridge), F.col("id") == F.col("message_id"), "left")
         return self._summary(rows, "rank").orderBy(*order, "id")
 
-    def total_of(self, f: MessageFilters | EventFilters) -> DataFrame:
-        """One row: total."""
+    def total_of(self, f: MessageFilters | EventFilters, of_page: bool = False) -> DataFrame:
+        """One row: total. of_page: 0 where the page that is asked for lies past the end."""
         rows = self.matching_messages(f) if isinstance(f, MessageFilters) else self.matching_events(f)
-        return rows.agg(F.count("*").alias("total"))
+        total = rows.agg(F.count("*").alias("total"))
+        return total.select(F.when(F.col("total") > clamp(f.offset, 0, 5000), F.col("total")).otherwise(F.lit(0).cast("long")).alias("total")) if of_page else total
 
     def read_messages(self, ids: list[str], offset: int = 0, length: int = 12_000) -> DataFrame:
         """Canonical messages of at most five ids, in the order asked for, with a stretch of their body."""

@@ -110,5 +110,10 @@ def backoff_seconds(interval: int, failures: int, most: int = 1800) -> int:
     return min(most, interval * 2 ** min(failures, 5))
 
 
+def backoff(failures: str, interval: int, most: int = 1800) -> Column:
+    """The same as a column."""
+    return F.least(F.lit(most), F.lit(interval) * F.pow(F.lit(2), F.least(F.col(failures), F.lit(5)))).cast("long")
+
+
 def read_dimension(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path, multiLine=True)

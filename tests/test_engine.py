@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillmesh import schemas
 from quillmesh.functions import dates
 from quillmesh.operators import band, classify, dedupe, dims, events, reconcile, store
-from quillmesh.plans import catalog, read
+from quillmesh.plans import catalog, constructed, read
 from quillmesh.sources import feeds
 from quillmesh.streaming import ingest
 
@@ -153,10 +153,10 @@ def test_reconcile_in_order_of_arrival(spark):
 
 def test_q_reconcile_replays_all_events(spark, sf, monkeypatch):
     """The registered query against a sequential replay of all events, by message id and by key."""
-    got = {r.id: r.canonical_id for r in catalog.q_reconcile(spark, sf).collect()}
+    got = {r.id: r.canonical_id for r in constructed.q_reconcile(spark, sf).collect()}
     with monkeypatch.context() as m:
-        m.setattr(catalog.reconcile, "reconcile", lambda rows: rows)
-        rows = sorted(catalog.q_reconcile(spark, sf).collect(), key=lambda r: (r.ingested_at, r.id))
+        m.setattr(constructed.reconcile, "reconcile", lambda rows: rows)
+        rows = sorted(constructed.q_reconcile(spark, sf).collect(), key=lambda r: (r.ingested_at, r.id))
     arrived, canonical, by_id_alone = [], {}, 0
     for me in rows:
         canonical[me.id] = None
@@ -171,12 +171,6 @@ def test_q_reconcile_replays_all_events(spark, sf, monkeypatch):
     assert got == canonical and len(got) == spark.read.parquet(f"{sf}/events.parquet").count() and by_id_alone
 
 
-def test_q_summary_titles_have_the_operators_own_limit(spark, tmp_path):
-    words = " ".join(f"word{i}" for i in range(100, 150))
-    spark.createDataFrame([(1, words[:159]), (2, words), (3, "[x] " * 4 + " " * 150 + "Late title")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    assert {r.doc_id: r.title for r in catalog.q_summary(spark, str(tmp_path)).collect()} == {1: words[:159], 2: words[:200], 3: "Late title"}
-
-
 def raw(spark, *rows):
     base = {"listserv": "FREEFOOD", "archive_id": "x", "source_url": None, "subject": "s", "author_name": "Pat", "author_email": "pat@princeton.edu", "sent_at": SENT, "body_html": None, "body_text": None, "complete": True, "headers": None, "attachments": None, "via_hoagie": False}
     return spark.createDataFrame([tuple((base | r).values()) for r in rows], schemas.RAW_MESSAGE)
