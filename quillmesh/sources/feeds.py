@@ -33,8 +33,13 @@ def read_xml_items(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def listing(spark: SparkSession, path: str, list_name: str, as_of: Column, limit: int = 300) -> DataFrame:
-    """Previews from a list's RSS files, newest `limit` (1 to 50,000). Items without an archive id go; bad dates are as_of."""
+    """Previews from a list's RSS files, newest `limit` (1 to 50,000). Items without an archive id go; bad dates are as_of.
+
+    Files without items that aren't feeds either (an archive that asks to sign in) are an error.
+    """
     check_list(list_name)
+    if read_xml_items(spark, path, RSS_ITEM).isEmpty() and spark.read.text(path, wholetext=True).where(F.col("value").rlike("(?i)<rss")).isEmpty():
+        raise ValueError(f"{list_name}: archive access unavailable (subscription or owner approval required)")
     return listing_items(read_xml_items(spark, path, RSS_ITEM), list_name, as_of).orderBy(F.desc("sent_at"), "archive_id").limit(clamp(limit, 1, 50_000))
 
 

@@ -65,7 +65,7 @@ def ingest_batch(tables: store.Store, raw: DataFrame, organizations: DataFrame,
     whole = whole.withColumn("change", F.when(F.col("complete") & ~F.col("was_complete"), F.coalesce("change", F.lit("update"))).otherwise(F.col("change"))).drop("was_complete")
     whole = tables.stage(whole)
     todo = event_ops.needs_extraction(whole, now)
-    found = tables.stage(event_ops.extract_with(todo.select("id", "subject", F.col("body_text").alias("body"), "sent_at", "links", "listserv", "organization_id", "organization_name"), locations, extractor))
+    found = extracted(tables, todo.select("id", "subject", F.col("body_text").alias("body"), "sent_at", "links", "listserv", "organization_id", "organization_name"), locations, extractor)
     stamp = found.select("id", F.col("version").alias("x_version"), F.col("method").alias("x_method"), F.col("is_event").alias("x_event"), F.col("notes").alias("x_notes"))
     whole = whole.join(stamp, "id", "left")
     hit = F.col("x_version").isNotNull()
@@ -99,6 +99,17 @@ def ingest_batch(tables: store.Store, raw: DataFrame, organizations: DataFrame,
     return {"messages": n_messages, "events": n_events}
 
 
+def extracted(tables: store.Store, messages: DataFrame, locations: DataFrame, extractor: event_ops.Extractor | None) -> DataFrame:
+    """What the extractor finds; where it fails, what the rules find, with a note of why."""
+    if extractor is not None:
+        try:
+            return tables.stage(event_ops.extract_with(messages, locations, extractor))
+        except Exception as error:
+            note = f"extractor failed, rules used: {type(error).__name__}"
+            return tables.stage(event_ops.extract(messages, locations).withColumn("notes", F.array_append("notes", F.lit(note))))
+    return tables.stage(event_ops.extract(messages, locations))
+
+
 def event_ops_mark(events: DataFrame, now):
     from ..operators import dedupe
 

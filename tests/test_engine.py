@@ -10,7 +10,7 @@ from quillmesh.functions import dates
 from quillmesh.operators import band, classify, dedupe, dims, events, reconcile, store
 from quillmesh.plans import catalog, constructed, read
 from quillmesh.sources import feeds
-from quillmesh.streaming import ingest
+from quillmesh.streaming import ingest, poll
 
 SENT = datetime(2026, 9, 28, 14)
 
@@ -215,6 +215,81 @@ def test_reminders_collapse_and_count(spark, tmp_path):
     assert status.messages == 2 and status.active == 1 and status.duplicates_of_official == 1
 
 
+class Lost(Exception):
+    pass
+
+
+def test_a_writer_that_dies_leaves_the_tables_as_they_were(spark, tmp_path, monkeypatch):
+    """Killed at several steps, before and while the tables are written: nothing is seen of it, and the next run gives what an undisturbed one gives."""
+    orgs, places = data.organizations(spark), data.locations(spark)
+    rows = raw(spark, {"archive_id": "r1", **DINNER})
+    columns = {"messages": ["id", "subject", "extraction_version", "is_event", "revision"], "message_lists": ["message_id", "listserv"], "events": ["id", "status", "title", "starts_at", "revision"]}
+    show = lambda s: {t: sorted(map(str, s.read(t).select(*c).collect())) for t, c in columns.items()}
+    plain = store.Store(spark, str(tmp_path / "plain"))
+    ingest.ingest_batch(plain, rows, orgs, places, NOW)
+    for name, step in (("stage", 3), ("stage", 8), ("_publish", 1)):
+        path, calls = str(tmp_path / f"{name}{step}"), []
+        with monkeypatch.context() as m:
+            whole = getattr(store.Store, name)
+
+            def dies(self, *args):
+                calls.append(1)
+                if len(calls) == step:
+                    raise Lost
+                return whole(self, *args)
+
+            m.setattr(store.Store, name, dies)
+            with pytest.raises(Lost):
+                ingest.ingest_batch(store.Store(spark, path), rows, orgs, places, NOW)
+        again = store.Store(spark, path)
+        assert again.manifest() == (0, {}) and again.read("messages", schemas.MESSAGES).isEmpty()
+        ingest.ingest_batch(again, rows, orgs, places, NOW)
+        assert show(again) == show(plain) and again.manifest()[0] == 1
+    with pytest.raises(RuntimeError, match="another writer"):
+        plain._publish(plain.manifest()[0], {})
+
+
+def test_an_extractor_that_fails_gives_way_to_the_rules(spark, tmp_path):
+    tables = store.Store(spark, str(tmp_path / "t"))
+
+    def broken(messages):
+        return messages.select(F.raise_error(F.lit("no answer")).alias("id"))
+
+    ingest.ingest_batch(tables, raw(spark, {"archive_id": "r1", **DINNER}), data.organizations(spark), data.locations(spark), NOW, broken)
+    kept = tables.read("messages").first()
+    assert kept.is_event and kept.extraction_version == "rules-1" and "extractor failed" in kept.extraction_notes[0] and tables.read("events").count() == 1
+
+
+class Archive:
+    """A fetcher over two messages, of which one has its body; a list whose name isn't known can't be read."""
+
+    def __init__(self, spark):
+        self.spark = spark
+
+    def listing(self, list_name, as_of):
+        if list_name != "FREEFOOD":
+            raise ValueError("archive access unavailable")
+        items = self.spark.createDataFrame([(f"Dinner talk tomorrow 6pm {i}", f"https://lists.princeton.edu/cgi-bin/wa?A2=m{i}", '"Pat" <p@x.edu>', "Mon, 28 Sep 2026 10:00:00 -0400", "short") for i in range(2)], feeds.RSS_ITEM)
+        return feeds.listing_items(items, list_name, F.lit(as_of))
+
+    def bodies(self, pending):
+        none = F.lit(None)
+        return pending.where("archive_id = 'm1'").select("source_url", none.cast("struct<identity_fields: array<string>, rfc_message_id: string, recipient_lists: array<string>, headers_complete: boolean>").alias("headers"), F.lit(DINNER["body_html"]).alias("body_html"), none.cast("array<struct<url: string, type: string>>").alias("attachments"))
+
+
+def test_poll_cycle(spark, tmp_path):
+    tables, orgs, places = store.Store(spark, str(tmp_path / "t")), data.organizations(spark), data.locations(spark)
+    first = poll.cycle(tables, Archive(spark), ["FREEFOOD", "HUOHUB"], orgs, places, NOW)
+    assert [(s["seen"], s["created"], s["bodies"], s["error"]) for s in first] == [(2, 2, 1, None), (0, 0, 0, "archive access unavailable")]
+    assert {r.archive_id: r.complete for r in tables.read("messages").collect()} == {"m0": False, "m1": True} and tables.read("events").count() == 1
+    health = {r.listserv: r.failures for r in tables.read("sources").collect()}
+    assert health == {"FREEFOOD": 0, "HUOHUB": 1}
+    lists = ["FREEFOOD", "HUOHUB"]
+    assert poll.due(tables.read("sources"), lists, NOW + timedelta(seconds=119)) == ["FREEFOOD"] and poll.due(tables.read("sources"), lists, NOW + timedelta(seconds=120)) == lists
+    second = poll.poll_list(tables, Archive(spark), "FREEFOOD", orgs, places, NOW + timedelta(minutes=1))
+    assert (second["seen"], second["created"], second["bodies"]) == (2, 0, 0)
+
+
 def test_stream_equals_batch(spark, tmp_path):
     orgs, places = data.organizations(spark), data.locations(spark)
     rows = [{"archive_id": f"a{i}", "subject": f"Note {i}", "body_text": "hello"} for i in range(4)]
@@ -265,6 +340,12 @@ def test_sources(spark, tmp_path):
     assert len(got) == 1 and got[0].archive_id == "ind:1" and got[0].author_email == "p@x.edu" and got[0].sent_at == datetime(2026, 9, 28, 14) and "P=9" not in got[0].source_url
     with pytest.raises(ValueError):
         feeds.check_list("bad name")
+    page = tmp_path / "login.html"
+    page.write_text("<html><body>Please sign in</body></html>")
+    with pytest.raises(ValueError, match="access unavailable"):
+        feeds.listing(spark, str(page), "WHITMANWIRE", F.lit(NOW))
+    page.write_text("<rss><channel></channel></rss>")
+    assert feeds.listing(spark, str(page), "WHITMANWIRE", F.lit(NOW)).count() == 0
     old = tmp_path / "old.json"
     old.write_text(json.dumps({"listserv": "freefood", "messages": [{"message_id": "1", "date": "2026-09-28T14:00:00Z", "author_name": "A", "hoagiemail_sender_name": "B", "subject": "s"}, {"date": "2026-09-28"}, {"message_id": "2", "date": "bad"}]}))
     got = feeds.read_archive(spark, str(old)).collect()
