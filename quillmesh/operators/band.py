@@ -16,7 +16,7 @@ from ..functions import text
 
 
 def band_join(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, seconds: int, keys: list[tuple[str, str]] = (), condition: Column | None = None, how: str = "inner") -> DataFrame:
-    """Pairs with |left_ts - right_ts| <= seconds; columns of both sides must differ in name. how: inner or left_anti."""
+    """Pairs with |left_ts - right_ts| <= seconds; columns of both sides must differ in name. how: inner, left_semi or left_anti."""
     width = max(1, seconds) * 1_000_000
     bucket = lambda c: F.floor(text.micros(c) / F.lit(width)).cast("long")
     a = left.withColumn("__band", bucket(left_ts))
@@ -30,11 +30,12 @@ def band_join(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, se
     return out.drop("__band", "__near")
 
 
-def word_band_join(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, seconds: int, left_words: str, right_words: str, least: float, condition: Column | None = None) -> DataFrame:
+def word_band_join(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, seconds: int, left_words: str, right_words: str, least: float, condition: Column | None = None, how: str = "inner") -> DataFrame:
     """Pairs within the band whose word sets have a Jaccard similarity of `least` or more (above 0).
 
     In one order of all words, two such sets share one of the first
     n - ceil(least n) + 1 of each: those are the join's keys, beside the bucket.
+    how: inner (a pair comes for each key it shares) or left_semi (left rows, for each key that finds a partner).
     """
 
     def keyed(rows: DataFrame, words: str, name: str) -> DataFrame:
@@ -42,6 +43,6 @@ def word_band_join(left: DataFrame, right: DataFrame, left_ts: str, right_ts: st
         return rows.withColumn(name, F.explode(F.slice(F.sort_array(words), 1, (n - F.ceil(n * least) + 1).cast("int"))))
 
     similar = text.jaccard(left_words, right_words) >= least
-    on = similar if condition is None else similar & condition
-    pairs = band_join(keyed(left.where(F.size(left_words) > 0), left_words, "__lw"), keyed(right.where(F.size(right_words) > 0), right_words, "__rw"), left_ts, right_ts, seconds, keys=[("__lw", "__rw")], condition=on)
+    on = similar if condition is None else condition & similar  # the cheap one first
+    pairs = band_join(keyed(left.where(F.size(left_words) > 0), left_words, "__lw"), keyed(right.where(F.size(right_words) > 0), right_words, "__rw"), left_ts, right_ts, seconds, keys=[("__lw", "__rw")], condition=on, how=how)
     return pairs.drop("__lw", "__rw")

@@ -39,14 +39,16 @@ def reminders(events: DataFrame, as_of: Column) -> DataFrame:
     active = events.where("status = 'active' and source = 'listserv'")
     older = lambda a, b: F.struct(f"{a}_created_at", f"{a}_id") < F.struct(f"{b}_created_at", f"{b}_id")
     firsts, before = _side(active, "o_"), _side(active, "p_")
-    preceded = word_band_join(firsts, before, "o_starts_at", "p_starts_at", REMINDER_SECONDS, "o_words", "p_words", REMINDER_LEAST, older("p", "o")).select("o_id").distinct()
+    preceded = word_band_join(firsts, before, "o_starts_at", "p_starts_at", REMINDER_SECONDS, "o_words", "p_words", REMINDER_LEAST, older("p", "o"), "left_semi").select("o_id").distinct()
     roots = firsts.join(preceded, "o_id", "left_anti")
     later = _side(_recent(active, as_of), "l_")
     host, other = F.col("l_host_org_id"), F.col("o_host_org_id")
     close = (text.jaccard("l_words", "o_words") >= REMINDER_LEAST) | F.col("l_location_id").eqNullSafe(F.col("o_location_id"))
     hosted = band_join(later, roots, "l_starts_at", "o_starts_at", REMINDER_SECONDS, keys=[("l_host_org_id", "o_host_org_id")], condition=older("o", "l") & close)
-    alike = word_band_join(later, roots, "l_starts_at", "o_starts_at", REMINDER_SECONDS, "l_words", "o_words", REMINDER_LEAST, older("o", "l") & (host.isNull() | other.isNull()))
-    pairs = hosted.unionByName(alike.select(*hosted.columns))
+    # Where one of the two has no host, words decide.
+    for mine, theirs in ((later.where(host.isNull()), roots), (later.where(host.isNotNull()), roots.where(other.isNull()))):
+        hosted = hosted.unionByName(word_band_join(mine, theirs, "l_starts_at", "o_starts_at", REMINDER_SECONDS, "l_words", "o_words", REMINDER_LEAST, older("o", "l")))
+    pairs = hosted
     return pairs.groupBy(F.col("l_id").alias("id")).agg(F.min_by("o_id", F.struct("o_created_at", "o_id")).alias("duplicate_of"))
 
 
