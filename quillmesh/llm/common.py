@@ -22,6 +22,9 @@ SLICE_BYTES = 8 << 20
 #: Bytes of documents that a reducer of Python code is given, roughly.
 PART_BYTES = 32 << 20
 
+#: Groups aren't made smaller than this to keep cores busy.
+SMALL_BYTES = 1 << 20
+
 #: Tables up to this size are dealt anew if they lie in few pieces.
 DEALT_BYTES = 256 << 20
 
@@ -142,6 +145,11 @@ def partitions_for(total_bytes: float, each: int = PART_BYTES, least: int = 1) -
     return max(least, math.ceil(total_bytes / each))
 
 
+def spread(spark: SparkSession, total_bytes: float, each: int) -> int:
+    """How many groups of about `each` bytes, or more and smaller ones (of SMALL_BYTES at least) where that leaves cores idle."""
+    return max(partitions_for(total_bytes, each), min(3 * spark.sparkContext.defaultParallelism, int(total_bytes) // SMALL_BYTES))
+
+
 def slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each holds about limit bytes, or one row."""
     for batch in batches:

@@ -396,8 +396,8 @@ def keyed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tupl
     """Rows with their key and chunk; the number of chunks and of buckets."""
     docs = common.documents(df, id_col, text_col)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks = common.partitions_for(size, common.PART_BYTES // 2)
-    buckets = common.partitions_for(size * 6 / 18, BUCKET_BYTES)
+    chunks = common.spread(df.sparkSession, size, common.PART_BYTES // 2)
+    buckets = common.spread(df.sparkSession, size * 6 / 18, BUCKET_BYTES)
     row = F.xxhash64("doc_id", "text")
     return docs.select(row.alias("row"), "doc_id", F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), "text").withColumn("chunk", F.pmod("row", F.lit(chunks)).cast("int")), chunks, buckets
 
