@@ -46,6 +46,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -256,13 +257,13 @@ def branch_logs(keys: np.ndarray, counts: np.ndarray, pairs: np.ndarray, least:
 
 
 def cuts(words: Iterator[tuple[bool, list[bytes]]]) -> Iterator[tuple[bool, list[list[bytes]]]]:
-    """Texts of one flag each, put together up to about half a slice."""
+    """Texts of one flag each, put together up to about a quarter of a slice."""
     some: dict[bool, list] = {False: [], True: []}
     size = {False: 0, True: 0}
     for flag, own in words:
         some[flag].append(own)
         size[flag] += sum(map(len, own)) + len(own) + 1
-        if size[flag] >= common.SLICE_BYTES // 2:
+        if size[flag] >= common.SLICE_BYTES // 4:
             yield flag, some[flag]
             some[flag], size[flag] = [], 0
     yield from ((flag, left) for flag, left in some.items() if left)
@@ -291,18 +292,19 @@ def pair_counts(lists: DataFrame) -> np.ndarray:
 
 
 def bucketed(words, buckets: int) -> dict[int, list[bytes]]:
-    """Distinct words by bucket, in order, so that a chunk finds the same lists again."""
+    """Distinct words by bucket."""
     out: dict[int, list[bytes]] = {}
-    for word in sorted(words):
+    for word in words:
         out.setdefault(zlib.crc32(word) % buckets, []).append(word)
     return out
 
 
-def chunked(df: DataFrame, folds: int) -> tuple[DataFrame, int]:
+def chunked(df: DataFrame, folds: int) -> tuple[DataFrame, int, int]:
+    """Documents with their flag and chunk; the number of chunks and of buckets."""
     docs = common.documents(df).withColumn("held_out", F.coalesce(common.crc32_of_id() % folds == 0, F.lit(False)))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks = common.partitions_for(size, common.PART_BYTES // 2, 1)
-    return docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int")), chunks
+    chunks, buckets = common.spread(df.sparkSession, size, common.PART_BYTES // 2), common.partitions_for(size, common.PART_BYTES // 2)
+    return docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int")), chunks, buckets
 
 
 LISTS = "bucket int, chunk int, words binary, counts binary, grams binary, times binary"
@@ -334,9 +336,10 @@ def lists_of(docs: DataFrame, buckets: int) -> DataFrame:
         words_in = bucketed(counts, buckets)
         # Only buckets that get something: never more rows than the chunk has distinct words and grams.
         used, none = sorted(words_in.keys() | grams_of.keys()), order[:0]
+        press = zstandard.ZstdCompressor(level=1)
         lists, own, n = [words_in.get(b, []) for b in used], [grams_of.get(b, none) for b in used], len(used)
         return pa.table({
-            "bucket": pa.array(used, pa.int32()), "chunk": pa.array([group.column("chunk")[0].as_py()] * n, pa.int32()), "words": pa.array([b" ".join(ws) for ws in lists], pa.binary()), "counts": pa.array([np.array([counts[w] for w in ws], "<u4").tobytes() for ws in lists], pa.binary()),
+            "bucket": pa.array(used, pa.int32()), "chunk": pa.array([group.column("chunk")[0].as_py()] * n, pa.int32()), "words": pa.array([press.compress(b" ".join(ws)) for ws in lists], pa.binary()), "counts": pa.array([np.array([counts[w] for w in ws], "<u4").tobytes() for ws in lists], pa.binary()),
             "grams": pa.array([keys[o].astype("<u8").tobytes() for o in own], pa.binary()), "times": pa.array([times[o].astype("<u4").tobytes() for o in own], pa.binary()),
         })
 
@@ -344,10 +347,11 @@ def lists_of(docs: DataFrame, buckets: int) -> DataFrame:
 
 
 def split_words(blob: bytes) -> list[bytes]:
-    return blob.split(b" ") if blob else []
+    words = zstandard.decompress(blob)
+    return words.split(b" ") if words else []
 
 
-ANSWERS = "bucket int, chunk int, counts binary, tokens long, distinct long, grams binary, logs binary"
+ANSWERS = "bucket int, chunk int, words binary, counts binary, tokens long, distinct long, grams binary, logs binary"
 
 
 def answers(lists: DataFrame, pairs: np.ndarray) -> DataFrame:
@@ -369,7 +373,7 @@ def answers(lists: DataFrame, pairs: np.ndarray) -> DataFrame:
         found = [logs[np.searchsorted(keys, k)].astype("<f4").tobytes() for k in asked]
         bucket, rows = group.column("bucket")[0].as_py(), len(chunks) + 1
         return pa.table({
-            "bucket": pa.array([bucket] * rows, pa.int32()), "chunk": pa.array([*chunks, None], pa.int32()), "counts": pa.array([*replies, None], pa.binary()),
+            "bucket": pa.array([bucket] * rows, pa.int32()), "chunk": pa.array([*chunks, None], pa.int32()), "words": pa.array([*blobs, None], pa.binary()), "counts": pa.array([*replies, None], pa.binary()),
             "tokens": pa.array([0] * len(chunks) + [sum(total.values())], pa.int64()), "distinct": pa.array([0] * len(chunks) + [sum(1 for n in total.values() if n)], pa.int64()),
             "grams": pa.array([*group.column("grams").to_pylist(), None], pa.binary()), "logs": pa.array([*found, None], pa.binary()),
         })
@@ -382,8 +386,8 @@ SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 def score(df: DataFrame, folds: int = 10) -> DataFrame:
     """Base and suffix-tree scores of every document; those whose id's crc32 is divisible by folds are not learnt from."""
-    docs, chunks = chunked(df, folds)
-    lists = common.written(lists_of(docs, chunks), "lists")
+    docs, _, buckets = chunked(df, folds)
+    lists = common.written(lists_of(docs, buckets), "lists")
     replies = common.written(answers(lists, pair_counts(lists)), "answers")
     totals = replies.where("chunk is null").agg(F.sum("tokens"), F.sum("distinct")).first()
     tokens, distinct = totals[0] or 0, totals[1] or 0
@@ -392,13 +396,8 @@ def score(df: DataFrame, folds: int = 10) -> DataFrame:
         doc_ids, held = left.column("doc_id").to_pylist(), left.column("held_out").to_pylist()
         known: dict[bytes, int] = {}
         texts = left.column("text").to_pylist()
-        met = {END_WORD}
-        for t in texts:
-            met.update(words_of(t or ""))
-        lists = bucketed(met, chunks)
-        del met
-        for bucket, blob in zip(right.column("bucket").to_pylist(), right.column("counts").to_pylist()):
-            known.update(zip(lists.pop(bucket, ()), np.frombuffer(blob, "<i8").tolist()))
+        for blob, numbers in zip(right.column("words").to_pylist(), right.column("counts").to_pylist()):
+            known.update(zip(split_words(blob), np.frombuffer(numbers, "<i8").tolist()))
         rows = {w: i for i, w in enumerate(known)}
         counts = np.fromiter(known.values(), np.float64, len(known))
         logs = np.log10((counts + 0.1) / (tokens + 0.1 * (distinct + 1)))
@@ -409,7 +408,7 @@ def score(df: DataFrame, folds: int = 10) -> DataFrame:
         while at < len(texts):
             # The words of some texts at a time: as lists they take several times the room of the text.
             words, size = [], 0
-            while at + len(words) < len(texts) and (not words or size < common.SLICE_BYTES // 2):
+            while at + len(words) < len(texts) and (not words or size < common.SLICE_BYTES // 4):
                 words.append(words_of(texts[at + len(words)] or ""))
                 size += sum(map(len, words[-1])) + len(words[-1])
             keys, own, ends = keys_of(words)
@@ -424,7 +423,7 @@ def score(df: DataFrame, folds: int = 10) -> DataFrame:
         kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         return pa.table({c.split()[0]: pa.array(v, t) for c, v, t in zip(SCHEMA.split(", "), out, kinds)})
 
-    return docs.groupBy("chunk").cogroup(replies.where("chunk is not null").select("chunk", "bucket", "counts", "grams", "logs").groupBy("chunk")).applyInArrow(common.trimmed_pair(rate), SCHEMA)
+    return docs.groupBy("chunk").cogroup(replies.where("chunk is not null").select("chunk", "words", "counts", "grams", "logs").groupBy("chunk")).applyInArrow(common.trimmed_pair(rate), SCHEMA)
 
 
 def op9_suffixtree(spark: SparkSession, sf_dir: str) -> DataFrame:
