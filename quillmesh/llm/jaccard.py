@@ -532,7 +532,8 @@ def in_chunks(rows: DataFrame) -> DataFrame:
 def link_components(found: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """member, component (smallest member) of the linked members, from candidates()."""
     edges = found.select("member", F.explode("prefix").alias("shingle"))
-    least = edges.groupBy("shingle").agg(F.min("member").alias("least"), F.count("*").alias("times")).where("times > 1")
+    # Written, so that the join deals both sides anew and a shingle that very many members have can be split.
+    least = common.written(edges.groupBy("shingle").agg(F.min("member").alias("least"), F.count("*").alias("times")).where("times > 1"), "shingles")
     grouped = components(edges.join(least, "shingle").select(F.col("member").alias("a"), F.col("least").alias("b")).distinct())
     rows = found.select("member", "n", "shingles").join(grouped.select(F.col("node").alias("member"), F.col("component").alias("grp")), "member")
     rows = common.written(in_chunks(rows), "groups")
