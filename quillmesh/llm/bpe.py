@@ -40,9 +40,9 @@ from . import common
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 #: Encodings of chunks kept by a worker.
-KEPT_CHUNKS = 400_000
+KEPT_CHUNKS = 1_000_000
 #: Longer chunks (words of a long text without blanks) aren't kept.
-KEPT_LENGTH = 200
+KEPT_LENGTH = 100
 #: Answers about neighbouring tokens kept by a worker.
 KEPT_PAIRS = 1_000_000
 
