@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from .band import band_join, word_band_join
+from .band import band_join, band_of, nearest_in_band, similar_sets, word_band_join, word_key
 
 OFFICIAL_SECONDS, REMINDER_SECONDS = 2700, 1800
 OFFICIAL_LEAST, REMINDER_LEAST = 0.5, 0.4
@@ -25,13 +25,17 @@ def _recent(events: DataFrame, as_of: Column) -> DataFrame:
 def official_duplicates(events: DataFrame, as_of: Column) -> DataFrame:
     """id, duplicate_of: active listserv events that repeat an active official one, the nearest in time (then of the smallest id)."""
     active = events.where("status = 'active'")
-    mine, theirs = _side(_recent(active.where("source = 'listserv'"), as_of), "l_"), _side(active.where("source = 'myprincetonu'"), "o_")
-    # Events of one host meet by host and time, those without a host by words and time.
-    hosted = band_join(mine, theirs, "l_starts_at", "o_starts_at", OFFICIAL_SECONDS, keys=[("l_host_org_id", "o_host_org_id")])
-    alike = word_band_join(mine.where("l_host_org_id is null"), theirs, "l_starts_at", "o_starts_at", OFFICIAL_SECONDS, "l_words", "o_words", OFFICIAL_LEAST)
-    pairs = hosted.unionByName(alike)
-    distance = F.abs(text.micros("l_starts_at") - text.micros("o_starts_at"))
-    return pairs.groupBy(F.col("l_id").alias("id")).agg(F.min_by("o_id", F.struct(distance, "o_id")).alias("duplicate_of"))
+    side = lambda rows: rows.select("id", F.col("starts_at").alias("at"), "host_org_id", text.similarity_words("title").alias("words"))
+    mine, theirs = side(_recent(active.where("source = 'listserv'"), as_of)), side(active.where("source = 'myprincetonu'"))
+    # Events of one host meet by host and time, those without a host by time and the word sets like their own; in time only the nearest is looked at.
+    host, words = F.concat(F.lit("host "), "host_org_id"), lambda c: F.concat(F.lit("words "), c)
+    unknown = mine.where("host_org_id is null").withColumn("band", band_of("at", OFFICIAL_SECONDS))
+    sets = similar_sets(unknown, theirs.withColumn("band", band_of("at", OFFICIAL_SECONDS)), OFFICIAL_LEAST).select("l_set", "l_band", "r_set").distinct()
+    alike = unknown.withColumn("l_set", word_key("words")).withColumnRenamed("band", "l_band").join(sets, ["l_set", "l_band"])
+    left = mine.select("id", host.alias("key"), "at").unionByName(alike.select("id", words(F.col("r_set")).alias("key"), "at"))
+    right = theirs.select(host.alias("key"), "at", F.col("id").alias("value")).unionByName(theirs.select(words(word_key("words")).alias("key"), "at", F.col("id").alias("value")))
+    found = nearest_in_band(left, right, OFFICIAL_SECONDS)
+    return found.groupBy("id").agg(F.min_by("value", F.struct("distance", "value")).alias("duplicate_of"))
 
 
 def reminders(events: DataFrame, as_of: Column) -> DataFrame:
