@@ -38,13 +38,38 @@ def official_duplicates(events: DataFrame, as_of: Column) -> DataFrame:
     return found.groupBy("id").agg(F.min_by("value", F.struct("distance", "value")).alias("duplicate_of"))
 
 
+def _roots(active: DataFrame) -> DataFrame:
+    """Events that no similar one within the band precedes.
+
+    Of one word set in one bucket only the first can be such. It is preceded if
+    another set's first is near and earlier, which two small tables tell, or
+    another event of a similar set, which only sets are asked for that come
+    before it and whose first didn't tell.
+    """
+    sides = _side(active, "o_").withColumn("set", word_key("o_words")).withColumn("band", band_of("o_starts_at", REMINDER_SECONDS))
+    columns = [c for c in sides.columns if c not in ("set", "band")]
+    worded = sides.where(F.size("o_words") > 0)
+    made = F.struct("o_created_at", "o_id")
+    heads = worded.groupBy("set", "band").agg(F.min_by(F.struct(*columns), made).alias("x")).select("set", "band", "x.*")
+    classes = heads.select("band", F.col("o_words").alias("words"))
+    similar = similar_sets(classes, classes, REMINDER_LEAST)
+    own = heads.select(F.col("set").alias("l_set"), F.col("band").alias("l_band"), F.col("o_id").alias("l_id"), F.col("o_starts_at").alias("l_at"), F.struct("o_created_at", "o_id").alias("l_made"))
+    other = heads.select(F.col("set").alias("r_set"), F.col("band").alias("r_band"), F.col("o_starts_at").alias("r_at"), made.alias("r_made"))
+    earlier = similar.join(own, ["l_set", "l_band"]).join(other, ["r_set", "r_band"]).where(F.col("r_made") < F.col("l_made"))
+    near = text.within_seconds("l_at", "r_at", REMINDER_SECONDS)
+    told = earlier.groupBy("l_id").agg(F.max(F.coalesce(near, F.lit(False))).alias("near"))
+    asked = earlier.join(told.where("not near"), "l_id", "left_semi").select("l_id", "l_at", "l_made", F.col("r_set").alias("set"), F.col("r_band").alias("band"))
+    seen = worded.select("set", "band", F.col("o_starts_at").alias("r_at"), made.alias("r_made")).join(asked, ["set", "band"]).where((F.col("r_made") < F.col("l_made")) & near).select("l_id").distinct()
+    preceded = told.where("near").select("l_id").unionByName(seen)
+    single = sides.where("size(o_words) = 0").select(*columns)
+    return heads.select(*columns).unionByName(single).join(preceded, F.col("o_id") == F.col("l_id"), "left_anti")
+
+
 def reminders(events: DataFrame, as_of: Column) -> DataFrame:
     """id, duplicate_of: active listserv events announced earlier by one that isn't itself preceded by a similar one; the earliest such."""
     active = events.where("status = 'active' and source = 'listserv'")
     older = lambda a, b: F.struct(f"{a}_created_at", f"{a}_id") < F.struct(f"{b}_created_at", f"{b}_id")
-    firsts, before = _side(active, "o_"), _side(active, "p_")
-    preceded = word_band_join(firsts, before, "o_starts_at", "p_starts_at", REMINDER_SECONDS, "o_words", "p_words", REMINDER_LEAST, older("p", "o"), "left_semi").select("o_id").distinct()
-    roots = firsts.join(preceded, "o_id", "left_anti")
+    roots = _roots(active)
     later = _side(_recent(active, as_of), "l_")
     host, other = F.col("l_host_org_id"), F.col("o_host_org_id")
     close = (text.jaccard("l_words", "o_words") >= REMINDER_LEAST) | F.col("l_location_id").eqNullSafe(F.col("o_location_id"))

@@ -49,3 +49,19 @@ def test_nearest_official_event_on_the_bands_edge(spark):
     events = spark.createDataFrame([(i, s, "active", "chess night", base + timedelta(seconds=n), None, None, base) for i, s, n in rows], "id string, source string, status string, title string, starts_at timestamp, host_org_id string, location_id string, created_at timestamp")
     assert [tuple(r) for r in dedupe.official_duplicates(events, instant("2024-01-01 00:00:00")).collect()] == [("l", "a")]
     assert not dedupe.official_duplicates(events.where("id not in ('a', 'b')"), instant("2024-01-01 00:00:00")).collect()
+
+
+def test_reminders_ask_each_copy_a_few_times(spark):
+    """Every event announces the same; the first of all is the only one that isn't preceded."""
+    rows, most = most_rows(dedupe.reminders(same_events(spark, 1000, True), instant("2024-01-01 00:00:00")))
+    assert {r.id: r.duplicate_of for r in rows} == {str(i): "0" for i in range(2, 2000, 2)}
+    assert most <= 3_000
+
+
+def test_reminders_over_a_buckets_edge(spark):
+    """The first of a bucket is preceded by a late one of the bucket before, though that bucket's first is too far away."""
+    base = datetime(2024, 1, 15, 14)
+    rows = [("a", 0), ("b", 1700), ("c", 1900), ("d", 7300), ("e", 7200 + 1700)]
+    events = spark.createDataFrame([(i, "listserv", "active", "chess night", base + timedelta(seconds=n), "mpu:1", None, base + timedelta(seconds=n)) for i, n in rows], "id string, source string, status string, title string, starts_at timestamp, host_org_id string, location_id string, created_at timestamp")
+    found = {r.id: r.duplicate_of for r in dedupe.reminders(events, instant("2024-01-01 00:00:00")).collect()}
+    assert found == {"b": "a", "e": "d"}
