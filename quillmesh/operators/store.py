@@ -17,6 +17,9 @@ from pyspark.sql.window import Window
 
 from ..functions import text
 
+#: Ranges of rows that are numbered apart.
+RANGES = 256
+
 
 def differs(columns: Sequence[str], old: str = "cur", new: str = "upd") -> Column:
     """Whether any column differs, null being equal to null."""
@@ -54,14 +57,23 @@ def merge_snapshot(current: DataFrame, updates: DataFrame, keys: Sequence[str],
 def with_revisions(rows: DataFrame, start: int, order: Sequence[str], when: str = "change is not null") -> DataFrame:
     """revision start + 1, start + 2, ... on the rows that changed, in order; the others keep theirs.
 
-    Numbers are counted within ranges of the order and shifted by the sizes of
-    the ranges before, so no task sees all changed rows.
+    Numbers are counted within ranges and shifted by the sizes of the ranges
+    before, so no task sees all changed rows. The ranges' bounds are taken from
+    the rows' keys alone: a plan reads the rows more than once, and must find each
+    in the same range every time, whatever order or partitions they come in.
     """
-    changed = rows.where(when).repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
-    changed = changed.withColumn("__own", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
-    sizes = changed.groupBy("__part").agg(F.count("*").alias("__n"))
+    key = F.struct(*(F.col(c).alias(f"k{i}") for i, c in enumerate(order)))
+    changed = rows.where(when)
+    sample = changed.select(key.alias("k"), F.xxhash64(*order).alias("h")).orderBy("h", "k").limit(RANGES * 16)
+    bounds = sample.agg(F.sort_array(F.collect_list("k")).alias("s")).select(F.filter("s", lambda k, i: i % 16 == 15).alias("__fine")).withColumn("__coarse", F.filter("__fine", lambda k, i: i % 16 == 15))
+    keyed = changed.crossJoin(F.broadcast(bounds)).withColumn("__key", key)  # one row of RANGES bounds at most
+    passed = F.size(F.filter("__coarse", lambda b: b <= F.col("__key")))
+    part = passed * 16 + F.size(F.filter(F.slice("__fine", passed * 16 + 1, 16), lambda b: b <= F.col("__key")))
+    keyed = keyed.withColumn("__part", part).drop("__fine", "__coarse", "__key")
+    numbered = keyed.withColumn("__own", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
+    sizes = keyed.groupBy("__part").agg(F.count("*").alias("__n"))
     before = sizes.alias("x").join(sizes.alias("y"), F.col("y.__part") < F.col("x.__part"), "left").groupBy(F.col("x.__part").alias("__part")).agg(F.coalesce(F.sum("y.__n"), F.lit(0)).alias("__before"))
-    numbered = changed.join(F.broadcast(before), "__part").withColumn("revision", F.col("__own") + F.col("__before") + start).select(*rows.columns)  # a row for each shuffle partition
+    numbered = numbered.join(F.broadcast(before), "__part").withColumn("revision", F.col("__own") + F.col("__before") + start).select(*rows.columns)  # a row for each range
     return numbered.unionByName(rows.where(f"not coalesce({when}, false)"))
 
 

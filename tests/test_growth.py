@@ -65,3 +65,21 @@ def test_reminders_over_a_buckets_edge(spark):
     events = spark.createDataFrame([(i, "listserv", "active", "chess night", base + timedelta(seconds=n), "mpu:1", None, base + timedelta(seconds=n)) for i, n in rows], "id string, source string, status string, title string, starts_at timestamp, host_org_id string, location_id string, created_at timestamp")
     found = {r.id: r.duplicate_of for r in dedupe.reminders(events, instant("2024-01-01 00:00:00")).collect()}
     assert found == {"b": "a", "e": "d"}
+
+
+def test_revisions_do_not_depend_on_how_rows_lie(spark):
+    """The plan reads the rows twice; here they come in other partitions and another order each time."""
+    from quillmesh.operators import store
+
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k"}
+    had = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        rows = spark.range(20_000).repartition(7, F.rand()).select(F.concat(F.lit("m"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("key"), F.sha2(F.col("id").cast("string"), 512).alias("body"), F.lit(0).cast("long").alias("revision"), F.when(F.col("id") % 5 > 0, "update").alias("change"))
+        numbered = store.with_revisions(rows, 100, ["key"]).where("change is not null").toPandas()
+    finally:
+        for k, v in had.items():
+            spark.conf.set(k, v)
+    found = list(numbered.sort_values("key")["revision"])
+    assert found == list(range(101, 16_101))
