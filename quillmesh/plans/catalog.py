@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import fixed, text
+from ..functions import fixed, html, text
 from ..operators import dedupe, dims, events as event_ops, reconcile, store
 from ..operators.band import band_join
 from ..sources import feeds
@@ -317,7 +317,7 @@ TAGS_SQL = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {rule_sql(WHO
 
 @query(f"WITH {PHRASED_SQL} SELECT doc_id, {TAGS_SQL} AS tags FROM phrased")
 def q_tags(spark, sf_dir):
-    return tables.phrased(spark, sf_dir).select("doc_id", F.array_join(text.tags_from_text("phrased"), ",").alias("tags"))
+    return tables.phrased(spark, sf_dir).select("doc_id", F.array_join(html.tags_column(F.col("phrased")), ",").alias("tags"))
 
 
 @query(f"""WITH {PHRASED_SQL}, f AS (SELECT doc_id, length(text) % 2 = 0 AS exact, length(text) % 3 <> 0 AS dated, {rule_sql(WHOLE_SQL, fixed.EVENT_WORDS)} AS eventful, {rule_sql(WHOLE_SQL, fixed.TAG_RULES['free food'])} AS food, {rule_sql('phrase', fixed.NOT_EVENT)} AS denied, {rule_sql('substr(text, 1, 1500)', fixed.NOT_EVENT)} AS denied_body,

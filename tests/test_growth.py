@@ -83,3 +83,12 @@ def test_revisions_do_not_depend_on_how_rows_lie(spark):
             spark.conf.set(k, v)
     found = list(numbered.sort_values("key")["revision"])
     assert found == list(range(101, 16_101))
+
+
+def test_rules_of_long_texts_are_those_of_short_ones(spark):
+    from quillmesh.functions import fixed, html, text
+
+    bodies = ["", None, "free PIZZA", "a career fair, jazz\nand a lecture on AI", "Étude: preREsearch", "x" * 50_000 + " study break, hackathon and debate, chess"]
+    rows = spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "id int, b string")
+    for r in rows.select("id", "b", html.tags_column(F.col("b")).alias("new"), text.tags_from_text("b").alias("old"), html.rules_column([(F.col("b"), fixed.EVENT_WORDS), (F.lit("concert"), fixed.EVENT_WORDS)]).alias("met")).collect():
+        assert r.new == r.old and r.met[1] and r.met[0] == (r.id in (3, 5)), r.id
