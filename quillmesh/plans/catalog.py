@@ -326,11 +326,10 @@ def q_tags(spark, sf_dir):
  SELECT doc_id, points, dated AND points >= 4 AS is_event, CAST(round(least(1.0, 0.35 + points * 0.1 + CASE WHEN exact THEN 0.1 ELSE 0 END - CASE WHEN doubted THEN 0.15 ELSE 0 END), 2) AS DOUBLE) AS confidence FROM s""")
 def q_event_score(spark, sf_dir):
     """The points of phrase and whole text; date and place are made from the text's length."""
-    n, rule = F.length("text"), event_ops.rlike
-    rows = tables.phrased(spark, sf_dir).select(
-        "doc_id", (n % 2 == 0).alias("exact"), (n % 3 != 0).alias("dated"), (n % 5 < 2).alias("placed"), rule(F.col("phrased"), fixed.EVENT_WORDS).alias("eventful"), rule(F.col("phrased"), fixed.TAG_RULES["free food"]).alias("food"),
-        rule(F.col("phrase"), fixed.NOT_EVENT).alias("denied"), rule(F.substring("text", 1, 1500), fixed.NOT_EVENT).alias("denied_body"), rule(F.col("phrased"), fixed.NOT_EVENT).alias("doubted"),
-    )
+    n, phrase, whole, head = F.length("text"), F.col("phrase"), F.col("phrased"), F.substring("text", 1, 1500)
+    rules = {"eventful": (whole, fixed.EVENT_WORDS), "food": (whole, fixed.TAG_RULES["free food"]), "denied": (phrase, fixed.NOT_EVENT), "denied_body": (head, fixed.NOT_EVENT), "doubted": (whole, fixed.NOT_EVENT)}
+    rows = tables.phrased(spark, sf_dir).select("doc_id", (n % 2 == 0).alias("exact"), (n % 3 != 0).alias("dated"), (n % 5 < 2).alias("placed"), html.rules_column(list(rules.values())).alias("met"))
+    rows = rows.select("*", *(F.get("met", F.lit(i)).alias(c) for i, c in enumerate(rules)))
     points = event_ops.score(F.col("exact"), F.col("dated"), F.col("placed"), F.lit(True), F.col("eventful"), F.col("food"), F.col("denied"), F.col("denied_body"))
     return rows.withColumn("points", points).select("doc_id", "points", (F.col("dated") & (F.col("points") >= 4)).alias("is_event"), event_ops.confidence(F.col("points"), F.col("exact"), F.col("doubted")).alias("confidence"))
 
