@@ -256,6 +256,30 @@ def postings(messages: DataFrame) -> DataFrame:
     return messages.select("id", F.explode(found).alias("x")).select("id", "x.term", "x.places", F.pmod(F.crc32(F.col("x.term").cast("binary")), F.lit(PARTS)).cast("int").alias("part"))
 
 
+def search_each(table: DataFrame, queries: dict[str, str]) -> DataFrame:
+    """asked, id, rank of the messages that meet each named query, from postings that are read once for all. Each query needs a wanted term in every alternative."""
+    asked = {name: parse(query) for name, query in queries.items()}
+    if any(not any(wanted for wanted, _ in parts) for q in asked.values() for parts in q):
+        raise ValueError("a query that only excludes words needs the ids of all messages")
+    only = sorted(frozenset().union(*map(terms_of, asked.values())))
+
+    @F.pandas_udf("array<struct<asked: string, rank: double>>")
+    def run(held: pd.Series) -> pd.Series:
+        known: dict = {}  # messages with the same places have the same answers
+
+        def answers(xs) -> list[dict]:
+            key = tuple(sorted((x["term"], tuple((p["at"], p["weight"]) for p in x["places"])) for x in xs))
+            if key not in known:
+                own = {t: list(at) for t, at in key}
+                known[key] = [{"asked": name, "rank": rank_of(q, own)} for name, q in asked.items() if meets(q, own)]
+            return known[key]
+
+        return pd.Series([answers(xs) for xs in held])
+
+    hits = table.where(F.col("part").isin(sorted({part_of(t) for t in only})) & F.col("term").isin(only)).groupBy("id").agg(F.collect_list(F.struct("term", "places")).alias("held"))
+    return hits.select("id", F.explode(run("held")).alias("f")).select("f.asked", "id", "f.rank")
+
+
 def search(table: DataFrame, query: str, ids: DataFrame | None = None) -> DataFrame:
     """id, rank of the messages that meet the query, from postings. ids: all messages' ids, needed only where an alternative has no wanted term."""
     asked = parse(query)

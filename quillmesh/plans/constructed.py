@@ -14,7 +14,7 @@ from ..operators import classify, dedupe, dims, events as event_ops, reconcile,
 from ..sources import feeds
 from . import read, tables
 from .registered import instant, plain, query, rule_sql
-from .tables import EVENTS_SQL, MESSAGES_SQL, table
+from .tables import EVENTS_SQL, MESSAGES_SQL, dealt, table
 
 SENT = "2024-01-15 14:00:00"
 FOOTER = "This email was instantly sent to all college listservs with Hoagie Mail. Email composed by Pat Lee (plee@example.edu) - if inappropriate, please report it to hoagie@princeton.edu."
@@ -96,7 +96,7 @@ def q_sender(spark, sf_dir):
  SELECT p_partkey, CAST(2 AS BIGINT) AS n, substr(sha256(url), 1, 24) AS id, url, 'p' || p_partkey || '.png' AS name, CAST(200 AS INT) AS width, file, 'file' AS kind, 'plan.pdf' AS file_name FROM p""")
 def q_media(spark, sf_dir):
     """Images and attachments, each once, without small ones, inline ones and parts that are the message itself; session data out of links."""
-    p = table(spark, sf_dir, "part")
+    p = dealt(table(spark, sf_dir, "part").select("p_partkey"))
     image = joined('<img src="https://img.example.org/p', cast("p_partkey"), '.png" alt="A picture" width="200" height="90px">')
     page = joined('<p>Hi <img src="cid:1"><img src="https://img.example.org/dot.gif" width="1" height="1">', image, image, '<img src="javascript:x"></p>')
     part = lambda kind, extra: F.struct(joined("https://lists.princeton.edu/cgi-bin/wa?A3=ind", cast("p_partkey"), extra).alias("url"), F.lit(kind).alias("type"))
@@ -123,7 +123,7 @@ def q_headers_and_keys(spark, sf_dir):
     wrapped = joined("https://nam12.safelinks.protection.outlook.com/?url=", F.url_encode(link), "&amp;data=05")
     footer = '<p>To unsubscribe from the butlerbuzz list, click the following link: <a href="https://lists.princeton.edu/cgi-bin/wa?SUBED1=butlerbuzz&amp;A=1">https://lists.princeton.edu/cgi-bin/wa?SUBED1=butlerbuzz&amp;A=1</a></p>'
     body = joined("<p>Order ", key, "  is<br>", F.when(kind == 2, joined('<a href="', wrapped, '">here</a>')).otherwise(joined('<a href="', link, '">here</a>')), ".</p>", F.when(kind == 0, F.lit(footer)).otherwise(F.lit("")))
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", html.archive_headers_column(page).alias("h"), body.alias("body"))
+    rows = dealt(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")).select("o_orderkey", html.archive_headers_column(page).alias("h"), body.alias("body"))
     rows = rows.withColumn("delivery_key", html.delivery_key_column(F.col("h"), F.col("body"))).withColumn("content", html.canonical_content_column(F.col("body")))
     return rows.select("o_orderkey", F.col("h.rfc_message_id").alias("rfc_message_id"), F.array_join("h.recipient_lists", ",").alias("lists"), F.col("h.headers_complete").alias("headers_complete"), F.element_at("h.identity_fields", 4).alias("date"), F.col("delivery_key").isNotNull().alias("has_key"), "delivery_key", F.when(F.col("delivery_key").isNotNull(), F.col("content")).alias("content"))
 
@@ -207,7 +207,7 @@ def q_places(spark, sf_dir):
     """Phrases and the places they name: by the longest alias, with room numbers; short aliases only in short phrases."""
     k, key = F.col("o_orderkey") % 5, (F.col("o_orderkey") % 900).cast("string")
     phrase = F.when(k == 0, joined("the Garden Hall, Room ", key)).when(k == 1, "by the Old Chapel steps").when(k == 2, "Zoom").when(k == 3, "GH lobby").otherwise("a place we call gh or something")
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderkey").alias("key"), phrase.alias("phrase"))
+    rows = dealt(table(spark, sf_dir, "orders").select("o_orderkey")).select("o_orderkey", F.col("o_orderkey").alias("key"), phrase.alias("phrase"))
     return dims.resolve_locations(rows, places(spark)).select(F.col("key").alias("o_orderkey"), "location_id", "room", "matched", "latitude")
 
 
@@ -299,7 +299,7 @@ def org_mail(spark, sf_dir) -> DataFrame:
     """Orders as mail: the sender, the subject and the body name nations' clubs in turn, some of them others' than the sender's."""
     k, name = F.col("o_orderkey"), F.concat(F.lit("NATION_"), (F.col("o_orderkey") % 25).cast("string"))
     other = F.concat(F.lit("Club of NATION_"), (F.floor(F.col("o_orderkey") / 25) % 25).cast("string"))
-    return table(spark, sf_dir, "orders").select(
+    return dealt(table(spark, sf_dir, "orders").select("o_orderkey")).select(
         cast("o_orderkey").alias("id"), F.when(k % 3 == 0, joined("Meeting of the ", other)).otherwise("News").alias("subject"), F.when(k % 5 == 0, joined("All from ", other, " are welcome. Powered by Hoagie. Club of NATION_1")).otherwise("Welcome").alias("body"),
         F.when(k % 4 == 0, joined("Club of ", name)).when(k % 4 == 1, "HoagieMail").when(k % 4 == 2, joined("Friends of the Club of ", name)).otherwise("Pat").alias("sender"), F.lit("").alias("sender_email"), F.lit("WHITMANWIRE").alias("listserv"),
     )
@@ -381,7 +381,7 @@ def q_message_pages(spark, sf_dir):
     k, key = F.col("p_partkey"), cast("p_partkey")
     link = lambda n, kind: joined('<a href="/cgi-bin/wa?A3=', key, n, '&amp;header=1" class="x"> ', kind, " </a>")
     page = F.concat(joined('<div class="archive"><b>Message-ID:</b> &lt;m', key, "@example.edu&gt;</div>"), link("a", "text/plain"), F.when(k % 2 == 0, link("b", "text/html")).otherwise(""), link("c", "image/png"), link("a", "text/plain"))
-    p = table(spark, sf_dir, "part")
+    p = dealt(table(spark, sf_dir, "part").select("p_partkey", "p_name"))
     pages = p.select(joined("u", key).alias("source_url"), page.alias("page"))
     url = lambda n: joined("https://lists.princeton.edu/cgi-bin/wa?A3=", key, n)
     parts = p.select(url("a").alias("url"), joined(F.col("p_name"), " <3").alias("content")).unionByName(p.select(url("b").alias("url"), joined("<p>", F.col("p_name"), "</p>").alias("content")))
@@ -400,7 +400,7 @@ def q_feed(spark, sf_dir):
         "fullDescription": F.lit("<p>About it &amp; more</p>"), "eventTopics": F.lit("Networking; Research,Nothing"), "foodProvided": F.when(k % 2 == 0, "1"), "eventDelete": F.when(k % 5 == 4, "1"),
     }
     names = [c.split()[0].strip("`") for c in schemas.FEED_ITEM.split(", ")]
-    items = table(spark, sf_dir, "events").select(*(given.get(n, F.lit(None)).cast("string").alias(n) for n in names))
+    items = dealt(table(spark, sf_dir, "events").select("event_id", "user_id", "ts")).select(*(given.get(n, F.lit(None)).cast("string").alias(n) for n in names))
     found = event_ops.map_feed(items.unionByName(items.limit(5).withColumn("eventId", F.lit(" "))), places(spark), tables.organizations(spark, sf_dir))
     return found.select("external_id", "id", "status", "title", "summary", plain("starts_at").alias("starts_at"), plain("ends_at").alias("ends_at"), "location_id", "room", "online", F.array_join("tags", ",").alias("tags"), "host_org_name", "publishable")
 
@@ -540,7 +540,7 @@ MAIL_SQL = "m AS (SELECT o_orderkey AS k, o_orderkey % 2 = 0 AS chess, 1 + o_ord
 def mail_to_search(spark, sf_dir) -> DataFrame:
     k = F.col("o_orderkey")
     body = F.concat(F.repeat(F.lit("and "), (k % 30).cast("int")), F.repeat(F.lit("Pizzas "), (k % 4 + 1).cast("int")), F.when(k % 7 == 0, "only for members").otherwise("for everybody"))
-    return table(spark, sf_dir, "orders").select(cast("o_orderkey").alias("id"), F.when(k % 2 == 0, "Chess").otherwise("Night").alias("subject"), F.lit(None).cast("string").alias("sender_name"), F.lit(None).cast("string").alias("organization_name"), body.alias("body_text"))
+    return dealt(table(spark, sf_dir, "orders").select("o_orderkey")).select(cast("o_orderkey").alias("id"), F.when(k % 2 == 0, "Chess").otherwise("Night").alias("subject"), F.lit(None).cast("string").alias("sender_name"), F.lit(None).cast("string").alias("organization_name"), body.alias("body_text"))
 
 
 @query(f"""WITH {MAIL_SQL}, near AS (SELECT k, unnest(range(1, times + 1)) + gap AS d FROM m WHERE chess AND NOT denied),
@@ -550,10 +550,8 @@ def mail_to_search(spark, sf_dir) -> DataFrame:
 def q_fts(spark, sf_dir):
     """All words but one, any word, and a phrase, from postings; ranks by closeness and by weights."""
     rows = mail_to_search(spark, sf_dir)
-    held = fts.postings(rows)
-    out = fts.search(held, "chess pizza -members").select(F.lit("all").alias("asked"), "id", F.round("rank", 6).alias("rank"))
-    out = out.unionByName(fts.search(held, "the chess OR pizzas").select(F.lit("any").alias("asked"), "id", F.round("rank", 6).alias("rank")))
-    return out.unionByName(fts.search(held, '"pizza pizzas"').select(F.lit("phrase").alias("asked"), "id", F.lit(None).cast("double").alias("rank")))
+    found = fts.search_each(fts.postings(rows), {"all": "chess pizza -members", "any": "the chess OR pizzas", "phrase": '"pizza pizzas"'})
+    return found.select("asked", "id", F.when(F.col("asked") != "phrase", F.round("rank", 6)).alias("rank"))
 
 
 @query(f"""WITH {MAIL_SQL} SELECT CAST(k AS VARCHAR) AS id, CASE WHEN chess THEN 'Chess' ELSE 'Night' END AS subject FROM m WHERE NOT chess AND times = 4 AND denied""")

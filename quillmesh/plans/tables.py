@@ -27,6 +27,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return rows.repartition(cores) if size <= DEALT_BYTES else rows
 
 
+#: Rows that one task of a step in Python gets, about, and the bytes of a row in its file, at least.
+DEALT_ROWS, DEALT_BYTES_A_ROW = 50_000, 2
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows dealt to tasks of about DEALT_ROWS, one for each core at least: a compressed table of short rows lies in few pieces, whatever work each row makes."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(max(cores, min(size // (DEALT_ROWS * DEALT_BYTES_A_ROW), 10_000)))
+
+
 def list_of(status: Column) -> Column:
     return F.when(status == "F", "WHITMANWIRE").when(status == "O", "BUTLERBUZZ").otherwise("FREEFOOD")
 
