@@ -8,6 +8,9 @@ takes a few joins, replaying them one grouped pass.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import defaultdict
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,28 +51,70 @@ def components(messages: DataFrame) -> DataFrame:
             return rows.select("id", "component")
 
 
+class _Arrived:
+    """Copies of one message id, or of one delivery key in one stretch of SECONDS, that arrived so far: what later copies can still match."""
+
+    def __init__(self):
+        self.first: dict[str, int] = {}  # of each list
+        self.later: dict[str, tuple[list, list]] = {}  # of each list, those sent after all before them
+        self.earlier: dict[str, tuple[list, list]] = {}  # those sent before all before them, by falling time, negated
+
+    def add(self, at: int, listserv: str, sent: int) -> None:
+        self.first.setdefault(listserv, at)
+        for held, value in ((self.later, sent), (self.earlier, -sent)):
+            sents, places = held.setdefault(listserv, ([], []))
+            if not sents or value > sents[-1]:
+                sents.append(value)
+                places.append(at)
+
+    def whole(self, listserv: str):
+        return (at for name, at in self.first.items() if name != listserv)
+
+    def since(self, listserv: str, sent: int, held: dict):
+        """The first of each other list sent at `sent` or later (held: later), or at -sent or before (held: earlier)."""
+        for name, (sents, places) in held.items():
+            i = bisect_left(sents, sent)
+            if name != listserv and i < len(sents):
+                yield places[i]
+
+
 def _replay(copies: pd.DataFrame) -> pd.DataFrame:
     """Canonical ids of one component's copies, which arrive one after another."""
     copies = copies.sort_values(["ingested_at", "id"])
-    arrived: list = []
+    width = SECONDS * 1_000_000
+    ids: list[str] = []
     canonical: dict[str, str | None] = {}
-    for me in copies.itertuples(index=False):
+    followers: dict[str, set[str]] = defaultdict(set)
+    by_rfc: dict[str, _Arrived] = defaultdict(_Arrived)
+    by_key: dict[tuple[str, int], _Arrived] = defaultdict(_Arrived)
+    for at, me in enumerate(copies.itertuples(index=False)):
         canonical[me.id] = me.canonical_id if isinstance(me.canonical_id, str) else None
-        has_rfc, has_key = isinstance(me.rfc_message_id, str), isinstance(me.delivery_key, str)
+        if canonical[me.id] is not None:
+            followers[canonical[me.id]].add(me.id)
+        has_rfc, has_key = isinstance(me.rfc_message_id, str), isinstance(me.delivery_key, str) and me.sent_at is not pd.NaT
+        sent = me.sent_at.value // 1000 if me.sent_at is not pd.NaT else 0
+        band = sent // width
         if canonical[me.id] is None and me.residential and (has_rfc or has_key):
-            for other in arrived:
-                if other.listserv == me.listserv:
-                    continue
-                same = has_rfc and other.rfc_message_id == me.rfc_message_id
-                near = has_key and other.delivery_key == me.delivery_key and abs((other.sent_at - me.sent_at).total_seconds()) <= SECONDS
-                if same or near:
-                    root = canonical[other.id] or other.id
-                    if root != me.id:
-                        for k, v in canonical.items():
-                            if k == me.id or v == me.id:
-                                canonical[k] = root
-                    break
-        arrived.append(me)
+            found: list[int] = []
+            if has_rfc and me.rfc_message_id in by_rfc:
+                found += by_rfc[me.rfc_message_id].whole(me.listserv)
+            if has_key:
+                before, same, after = (by_key.get((me.delivery_key, band + k)) for k in (-1, 0, 1))
+                found += same.whole(me.listserv) if same else ()
+                found += before.since(me.listserv, sent - width, before.later) if before else ()
+                found += after.since(me.listserv, -(sent + width), after.earlier) if after else ()
+            if found:
+                other = ids[min(found)]
+                root = canonical[other] or other
+                if root != me.id:
+                    for k in (me.id, *followers.pop(me.id, ())):
+                        canonical[k] = root
+                        followers[root].add(k)
+        ids.append(me.id)
+        if has_rfc:
+            by_rfc[me.rfc_message_id].add(at, me.listserv, sent)
+        if has_key:
+            by_key[me.delivery_key, band].add(at, me.listserv, sent)
     return pd.DataFrame({"id": list(canonical), "canonical_id": list(canonical.values())})
 
 
