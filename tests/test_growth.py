@@ -92,3 +92,34 @@ def test_rules_of_long_texts_are_those_of_short_ones(spark):
     rows = spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "id int, b string")
     for r in rows.select("id", "b", html.tags_column(F.col("b")).alias("new"), text.tags_from_text("b").alias("old"), html.rules_column([(F.col("b"), fixed.EVENT_WORDS), (F.lit("concert"), fixed.EVENT_WORDS)]).alias("met")).collect():
         assert r.new == r.old and r.met[1] and r.met[0] == (r.id in (3, 5)), r.id
+
+
+def test_work_in_python_is_dealt_to_all_cores(spark, sf):
+    """A table of short rows lies in one piece; each of these queries works long on every row."""
+    from quillmesh.plans import catalog
+
+    cores = spark.sparkContext.defaultParallelism
+    for name in ("q_media", "q_headers_and_keys"):
+        assert catalog.QUERIES[name](spark, sf).rdd.getNumPartitions() >= cores, name
+
+
+def test_one_search_makes_postings_once(spark, sf):
+    from quillmesh.plans import catalog
+
+    plan = catalog.QUERIES["q_fts"](spark, sf)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("ArrowEvalPython") <= 2
+
+
+def test_replay_of_many_copies():
+    import time
+
+    import pandas as pd
+
+    from quillmesh.operators import reconcile
+
+    n, base = 12_000, pd.Timestamp("2024-01-15")
+    times = [base + pd.Timedelta(seconds=200 * i) for i in range(n)]
+    copies = pd.DataFrame({"id": [f"{i:06d}" for i in range(n)], "listserv": ["A", "B"] * (n // 2), "rfc_message_id": None, "delivery_key": "k", "sent_at": times, "ingested_at": times, "canonical_id": None, "residential": True})
+    began = time.time()
+    assert reconcile._replay(copies)["canonical_id"].isna().all()
+    assert time.time() - began < 10
