@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import fixed, html, text
-from ..operators import dedupe, dims, events as event_ops, reconcile, store
+from ..operators import dedupe, dims, events as event_ops, reconcile, setpairs, store
 from ..operators.band import band_join
 from ..sources import feeds
 from . import read, tables
@@ -280,27 +280,9 @@ def q_pending_bodies(spark, sf_dir):
  p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both_, any_value(a.n) + any_value(b.n) - count(*) AS whole FROM e a JOIN e b ON a.word = b.word AND a.doc_id < b.doc_id GROUP BY 1, 2)
  SELECT a, b, round(both_ / whole, 6) AS j FROM p WHERE both_ / whole >= 0.6""")
 def q_jaccard_pairs(spark, sf_dir):
-    """Pairs of documents at word Jaccard 0.6 or more.
-
-    In order of frequency two such sets share one of their first words, the join's
-    key. How many of those they share bounds what they can share in all; sets meet
-    only for the pairs that can reach the threshold.
-    """
-    least = 0.6
+    """Pairs of documents at word Jaccard 0.6 or more."""
     docs = table(spark, sf_dir, "documents").select("doc_id", text.similarity_words("text").alias("words"))
-    words = docs.select("doc_id", F.size("words").alias("n"), F.explode("words").alias("word"))
-    frequency = words.groupBy("word").agg(F.count("*").alias("times")).where("times > 1")
-    # Words that no other document has count for the size only: they come first in the order.
-    shared = words.join(frequency, "word").groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("times", "word"))).alias("order"))
-    rest = F.ceil(F.col("n") * least) - 1
-    first = (F.size("order") - rest).cast("int")
-    keys = shared.where(first > 0).select("doc_id", "n", F.explode(F.slice("order", 1, first)).alias("k")).select("doc_id", "n", F.col("k.word").alias("word"))
-    b = keys.select(F.col("doc_id").alias("b"), F.col("n").alias("m"), "word")
-    met = keys.withColumnRenamed("doc_id", "a").join(b, "word").where((F.col("a") < F.col("b")) & (F.least("n", "m") >= F.greatest("n", "m") * least)).groupBy("a", "b", "n", "m").agg(F.count("*").alias("met"))
-    near = met.where(F.col("met") + F.greatest(F.ceil(F.col("n") * least), F.ceil(F.col("m") * least)) - 1 >= (F.col("n") + F.col("m")) * (least / (1 + least)) - 1e-6).select("a", "b")
-    sets = lambda name: docs.select(F.col("doc_id").alias(name), F.col("words").alias(name + "_words"))
-    pairs = near.join(sets("a"), "a").join(sets("b"), "b").withColumn("j", text.jaccard("a_words", "b_words"))
-    return pairs.where(F.col("j") >= least).select("a", "b", F.round("j", 6).alias("j"))
+    return setpairs.similar_pairs(docs, 0.6).select("a", "b", F.round("j", 6).alias("j"))
 
 
 CATEGORY_SQL = "CASE " + " ".join(f"WHEN {rule_sql(column, p)} THEN '{name}'" for column in ("phrase", "phrase || chr(10) || substr(text, 1, 12000)") for name, p in fixed.CATEGORY_RULES) + f" ELSE '{fixed.DEFAULT_CATEGORY}' END"

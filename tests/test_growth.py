@@ -123,3 +123,38 @@ def test_replay_of_many_copies():
     began = time.time()
     assert reconcile._replay(copies)["canonical_id"].isna().all()
     assert time.time() - began < 10
+
+
+def test_similar_sets_make_no_rows_for_other_pairs(spark, tmp_path):
+    """Texts over few words share first words with most others; of the pairs only similar ones become rows."""
+    import random
+
+    from quillmesh.plans import catalog
+
+    draw = random.Random(1)
+    sets = [sorted(draw.sample(range(100, 220), 30)) for _ in range(500)]
+    spark.createDataFrame([(i, " ".join(f"word{k}" for k in s)) for i, s in enumerate(sets)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows, most = most_rows(catalog.QUERIES["q_jaccard_pairs"](spark, str(tmp_path)))
+    like = {(a, b): round(len(x & y) / len(x | y), 6) for b, y in enumerate(map(set, sets)) for a, x in enumerate(map(set, sets[:b])) if 10 * len(x & y) >= 6 * len(x | y)}
+    assert {(r.a, r.b): r.j for r in rows} == like
+    assert most <= 10_000
+
+
+def test_similar_sets_of_all_sizes(spark, monkeypatch):
+    """Blocks of a few sets, sizes that fill several blocks, copies and empty sets; words with and without a short code."""
+    import random
+
+    from quillmesh.operators import setpairs
+
+    draw = random.Random(2)
+    sets = [set()] * 3 + [{"one"}] * 4 + [{"one", "two"}, {"one", "two", "six"}]
+    for _ in range(60):
+        base = draw.sample(range(400), draw.choice((1, 2, 5, 20, 90, 200)))
+        sets += [{f"w{k}" for k in base if draw.random() < keep} | {f"w{draw.randrange(400)}" for _ in range(draw.randrange(4))} for keep in (1, 1, 0.95, 0.8, 0.65)]
+    rows = spark.createDataFrame([(7 * i, sorted(s)) for i, s in enumerate(sets)], "doc_id long, words array<string>")
+    for name, value in (("BLOCK_WORDS", 1500), ("CODED", 100), ("CHUNK", 50)):
+        monkeypatch.setattr(setpairs, name, value)
+    for least in (0.6, 0.85):
+        like = {(7 * a, 7 * b): len(x & y) / len(x | y) for b, y in enumerate(sets) for a, x in enumerate(sets[:b]) if x and y and len(x & y) / len(x | y) >= least}
+        assert {(r.a, r.b): r.j for r in setpairs.similar_pairs(rows, least).collect()} == like and like
+    assert not setpairs.similar_pairs(rows.limit(3), 0.6).collect()
