@@ -101,7 +101,10 @@ def notices(x: C) -> Column:
 
 def is_relay_footer(x: C) -> Column:
     flat = collapse(x)
-    return flat.startswith(fixed.RELAY_FOOTER) & flat.rlike(fixed.RELAY_MARKS[0]) & flat.contains(fixed.RELAY_MARKS[1]) & flat.contains(fixed.RELAY_MARKS[2])
+    # The mark without blanks is looked for first, most texts need not be collapsed; parts of a plain `&` would all be worked out.
+    marked = col(x).contains(fixed.RELAY_MARKS[2])
+    return F.when(marked, flat.startswith(fixed.RELAY_FOOTER) & flat.rlike(fixed.RELAY_MARKS[0]) & flat.contains(fixed.RELAY_MARKS[1])).otherwise(marked)
+
 
 
 def _trim_end(x: Column) -> Column:
@@ -110,11 +113,13 @@ def _trim_end(x: Column) -> Column:
 
 def display_text(x: C) -> Column:
     """Unsubscribe lines and a whole relay footer removed; what follows the footer stays."""
-    body = _trim_end(F.regexp_replace(col(x), fixed.UNSUBSCRIBE, ""))
+    # One form of the lines has a link, the other a quotation mark.
+    marked = col(x).contains("://") | col(x).contains('"') | col(x).contains("“")
+    body = _trim_end(F.when(marked, F.regexp_replace(col(x), fixed.UNSUBSCRIBE, "")).otherwise(col(x)))
     start = F.instr(body, fixed.RELAY_FOOTER)
     tail = F.substr(body, start)
     end = F.regexp_instr(tail, F.lit(fixed.RELAY_END))
-    head = _trim_end(F.regexp_replace(F.substr(body, F.lit(1), F.greatest(start - 1, F.lit(0))), r"\s*[-_]{3,}\s*$", ""))
+    head = _trim_end(F.regexp_replace(F.substr(body, F.lit(1), F.greatest(start - 1, F.lit(0))), r"[-_]{3,}\s*$", ""))
     rest = F.substr(tail, end + F.length(F.regexp_substr(tail, F.lit(fixed.RELAY_END))))
     return F.when((start > 0) & is_relay_footer(tail) & (end > 0), _trim_end(F.concat(head, rest))).otherwise(body)
 

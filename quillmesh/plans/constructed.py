@@ -48,7 +48,7 @@ def q_readable(spark, sf_dir):
     page = joined(f"<div>{NOTICE}</div><p>", F.col("w"), f"</p><div>{FOOTER}</div>")
     body = joined(NOTICE + "\n", F.col("w"), "\n\n", FOOTER)
     return rows.select(
-        "doc_id", html.readable_text_column(F.lit(None).cast("string"), page).alias("from_page"), text.readable(body).alias("from_text"), html.preview_column(F.lit(""), page).alias("preview"),
+        "doc_id", html.readable_text_column(F.lit(None).cast("string"), page).alias("from_page"), html.readable_text_column(body, F.lit(None).cast("string")).alias("from_text"), html.preview_column(F.lit(""), page).alias("preview"),
         html.display_html_column(joined('<script>x("<p>")</script><p onclick="y()">', F.col("w"), "</p><img src=x>")).alias("shown"), text.is_relay_footer(F.lit(FOOTER)).alias("footer"), text.is_relay_footer(F.col("w")).alias("footer_alone"),
     )
 

@@ -158,3 +158,39 @@ def test_similar_sets_of_all_sizes(spark, monkeypatch):
         like = {(7 * a, 7 * b): len(x & y) / len(x | y) for b, y in enumerate(sets) for a, x in enumerate(sets[:b]) if x and y and len(x & y) / len(x | y) >= least}
         assert {(r.a, r.b): r.j for r in setpairs.similar_pairs(rows, least).collect()} == like and like
     assert not setpairs.similar_pairs(rows.limit(3), 0.6).collect()
+
+
+def test_long_texts_are_cleaned_as_short_ones(spark):
+    """Blanks before a footer aren't tried one after the other; what goes is what the patterns say."""
+    import random
+    import re
+    import time
+
+    from quillmesh.functions import fixed, html, text
+
+    footer = f"{fixed.RELAY_FOOTER} Hoagie Mail. Email composed by A B (a@b.edu) - please report it to hoagie@princeton.edu."
+    notice = "This email was sent to you as a subscriber of WHITMANWIRE@princeton.edu."
+    signoff = 'If you would like to unsubscribe from this listserv, please send a "SIGNOFF WHITMANWIRE" command to LISTSERV@PRINCETON.EDU.'
+    link = "to UNSUBSCRIBE, click the following link: https://lists.princeton.edu/cgi-bin/wa?SUBED1=WHITMANWIRE&A=1"
+    blanks = "a" + " " * 60_000 + "b"
+    began = time.time()
+    assert html.readable_text(blanks + "\n" + footer) == blanks
+    assert time.time() - began < 2
+
+    def head(x):
+        x = re.sub(fixed.UNSUBSCRIBE, "", x).rstrip()
+        return re.sub(r"\s*[-_]{3,}\s*$", "", x[: x.index(fixed.RELAY_FOOTER)]).rstrip() + " z"
+
+    draw = random.Random(3)
+    bodies = ["".join(draw.choices(["a", " ", "  ", "\n", "\t", "-", "---", "__", "_-_", signoff, link, notice + "\n"], (8, 6, 2, 3, 1, 3, 3, 2, 2, 1, 1, 1), k=draw.randrange(12))) + draw.choice(("", " ", "\n", "---\n")) + footer + " z" for _ in range(300)]
+    assert [html.drop_footer(b) for b in bodies] == [head(b) for b in bodies]
+    rows = spark.createDataFrame(list(enumerate(bodies)), "id int, b string").select("id", text.display_text("b").alias("shown"), text.is_relay_footer("b").alias("footer")).collect()
+    assert {r.id: r.shown for r in rows} == {i: head(b) for i, b in enumerate(bodies)}
+    for r in spark.createDataFrame(list(enumerate(notice + "\n" + b for b in bodies)), "id int, b string").select("b", text.readable("b").alias("old"), html.readable_text_column(F.col("b"), F.lit(None).cast("string")).alias("new")).collect():
+        assert r.old.split() == r.new.split()  # white space is cleaned in one of them
+    assert {r.id: r.footer for r in rows} == {i: html.is_relay_footer(b) for i, b in enumerate(bodies)}
+    assert spark.createDataFrame([(None,)], "b string").select(text.is_relay_footer("b").alias("f"), text.display_text("b").alias("d")).first() == (None, None)
+    pages = [f"<p>{b}</p><hr><h2>t  {link}</h2>" for b in bodies]
+    for p in pages:
+        assert html.drop_notices(p) == re.sub(fixed.SUBSCRIBER_NOTICE, "", re.sub(fixed.FORMS_WARNING, "", re.sub(fixed.SUBSCRIBER_NOTICE, "", p, count=1), count=1), count=1)
+        assert "  " not in html.page_text(p).replace("\n", "") and not re.search(r"[ \t]+$", html.page_text(p), re.M)
